@@ -1,15 +1,17 @@
-"""Session helpers."""
+"""Session helpers: shipping the package, tables, and the shared folder in which lineage is cut."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +26,30 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), one folder for the session."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="gridspan-")
+    return _own[app]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/gridspan/{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: the lineage ends there, and losing an executor loses nothing."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
