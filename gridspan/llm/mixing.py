@@ -47,7 +47,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 
 
 def pivotal(p: np.ndarray, size: np.ndarray, draw: np.ndarray, last: bool) -> np.ndarray:
-    """p rounded, in the order given: all integral but for one at most; with `last`, that one too."""
+    """p rounded, in the order given: all integral but for one at most; with `last`, that one too. draw: a number for each row and one
+    for the last."""
     p = p.copy()
     held = -1
     for i in range(len(p)):
@@ -67,14 +68,14 @@ def pivotal(p: np.ndarray, size: np.ndarray, draw: np.ndarray, last: bool) -> np
                 p[k] = round(p[k])
         held = next((k for k in (held, i) if 0 < p[k] < 1), -1)
     if last and held >= 0:
-        p[held] = float(draw[held] < p[held])
+        p[held] = float(draw[len(p)] < p[held])
     return p
 
 
 def _settler(seed: int, level: int, last: bool):
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "o", "id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        draw = np.random.default_rng([seed, level, int(pdf["so"].iloc[0]) & (2**63 - 1), int(pdf["block"].iloc[0])]).random(len(pdf))
+        draw = np.random.default_rng([seed, level, int(pdf["so"].iloc[0]) & (2**63 - 1), int(pdf["block"].iloc[0])]).random(len(pdf) + 1)
         pdf["p"] = pivotal(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), draw, last)
         return pdf.drop(columns=["o", "so"])
 
@@ -118,7 +119,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them (0, 1 or 2 times). Rows that share a doc_id are one document here,
     whose copies are the sum of theirs. Columns are those of docs."""
     sized = docs.select(F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
-    took = copies(sized, **options).groupBy("id").agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
+    took = copies(sized, **options).groupBy(F.col("id").alias("_id")).agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
     one = docs.dropDuplicates(["doc_id"])
-    out = one.join(took, F.col("doc_id").eqNullSafe(F.col("id")))
+    out = one.join(took, F.col("doc_id").eqNullSafe(F.col("_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

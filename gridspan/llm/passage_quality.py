@@ -145,7 +145,7 @@ def _gradients(m: dict[str, np.ndarray], x: np.ndarray, sizes: np.ndarray, y: np
     return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "o": z.T @ d, "c": np.array([d.sum()])}
 
 
-def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 60, batch: int = 128, rate: float = 0.01, decay: float = 1e-3, seed: int = 3) -> Model:
+def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 60, batch: int = 128, rate: float = 0.01, decay: float = 0.03, seed: int = 3) -> Model:
     """Learn from bags of passages and labels 0 or 1; classes weigh alike up to a square root."""
     prior = float(y.mean()) if len(y) else 0.5
     if len(y) == 0 or y.min() == y.max():
