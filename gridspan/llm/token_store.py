@@ -14,6 +14,7 @@ moved into place, so a task that runs again replaces its file by the same bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -33,57 +34,63 @@ ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("n", "<u8"), ("crc", "<u4")
 TAIL = struct.Struct("<QQ8s")
 
 
-class WordTokenizer:
-    """Ids by the tokenizers library for a vocabulary whose pre-tokens never hold white space: the pieces between white space
-    are encoded one by one and remembered, in two generations that bound the memory."""
+#: Composed letters of ASCII, Latin-1 and Latin Extended-A whose lower case is one letter.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
 
-    def __init__(self, model: str, keep: int = 500_000):
-        from tokenizers import Tokenizer
 
+class WordTokenizer(dict):
+    """Ids by the tokenizers library for a model that lower-cases composed text, splits it into runs of letters, digits or marks
+    and never lets a pre-token hold white space: the pieces between white space are encoded one by one and remembered, as bytes,
+    in two generations that bound the memory."""
+
+    def __init__(self, model: str, keep: int = 1_200_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__()
         self.model = Tokenizer.from_str(model)
+        self.word = self.model.model.tokenize
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.char: dict[str, str] = {}
         self.half = keep // 2
-        self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _library(self, pieces: list[bytes]) -> list[bytes]:
-        got = self.model.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [struct.pack(f"<{len(x)}I", *x) for x in (e.ids for e in got)]
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.memo) + 2 * len(pieces) > self.half:
-            self.old, self.memo = self.memo, {}
-        memo, old = self.memo, self.old
-        # A plain ASCII word is lower-cased by the model, and a full stop or comma after it is a pre-token of its own.
-        parts: dict[bytes, tuple[bytes, ...]] = {}
-        for p in pieces:
-            if (x := old.get(p)) is not None:
-                memo[p] = x
-                continue
-            word, mark = (p[:-1], p[-1:]) if p[-1:] in (b".", b",") else (p, b"")
-            if word.isalpha():
-                word = word.lower()
-                parts[p] = (word, mark) if mark else (word,)
-            else:
-                parts[p] = (p,)
-        new = list({x for ps in parts.values() for x in ps if x not in memo})
-        memo.update(zip(new, self._library(new), strict=True))
-        for p, ps in parts.items():
-            memo[p] = b"".join([memo[x] for x in ps])
+    def _spelled(self, word: str) -> str:
+        """A word of Latin letters in the byte characters that the model's merges are written in."""
+        for c in word:
+            if c not in self.char:
+                self.char[c] = self.bytes(c)[0][0]
+        return "".join([self.char[c] for c in word])
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= self.half:
+            self.old = self.copy()
+            self.clear()
+        if (known := self.old.get(piece)) is None:
+            known = self._ids(piece)
+        self[piece] = known
+        return known
+
+    def _ids(self, piece: bytes) -> bytes:
+        """A word of Latin letters is one pre-token that only needs lower-casing, so it goes straight to the library's model; a
+        full stop or comma after a plain word is a pre-token of its own; any other piece goes through the whole chain."""
+        if piece.isalpha():
+            low = piece.lower()
+            if low != piece:
+                return self[low]
+            ids = [t.id for t in self.word(low.decode())]
+        elif piece[-1:] in (b".", b",") and piece[:-1].isalpha():
+            return self[piece[:-1].lower()] + self[piece[-1:]]
+        elif _LATIN(text := piece.decode("utf-8", "replace")):
+            ids = [t.id for t in self.word(self._spelled(text.lower()))]
+        else:
+            ids = self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None, piece: int = 1 << 20) -> Iterator[bytes]:
         from .simhash import word_pieces
 
         for words in word_pieces((text or "").encode("utf-8", "surrogatepass"), piece):
-            try:
-                yield b"".join(map(self.memo.__getitem__, words))
-            except KeyError:
-                for k in range(0, len(words), self.half // 2):
-                    some = words[k : k + self.half // 2]
-                    missing = {w for w in some if w not in self.memo}
-                    self._learn(missing)
-                    if late := {w for w in some if w not in self.memo}:
-                        self._learn(late)
-                    yield b"".join(map(self.memo.__getitem__, some))
+            yield b"".join(map(self.__getitem__, words))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
