@@ -6,21 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _binned(rows: DataFrame, width: int) -> DataFrame:
+    """(path, off, len, ...) laid into the bins of `width` bytes that it touches, clipped to each: (bin, lo, hi, ...)."""
+    last = F.greatest(F.col("off") + F.col("len") - 1, F.col("off"))
+    out = rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("off") / width), F.floor(last / width))))
+    return out.withColumns({"lo": F.greatest(F.col("off"), F.col("bin") * width), "hi": F.least(F.col("off") + F.col("len"), (F.col("bin") + 1) * width)})
+
+
+def islands(ranges: DataFrame, width: int = 1024) -> DataFrame:
+    """(path, bin, s, e): the union of the ranges as disjoint stretches within each bin.
+
+    A running maximum of ends marks where a stretch begins; the window sees one bin of one path at a time."""
+    rows = _binned(ranges.select("path", "off", "len"), width).filter("lo < hi").select("path", "bin", "lo", "hi")
+    by = Window.partitionBy("path", "bin").orderBy("lo", "hi")
+    begins = (F.col("lo") > F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    rows = rows.withColumn("new", F.coalesce(begins, F.lit(1))).withColumn("k", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("path", "bin", "k").agg(F.min("lo").alias("s"), F.max("hi").alias("e")).drop("k")
+
+
 def cover(targets: DataFrame, ranges: DataFrame, width: int = 1024) -> DataFrame:
     """targets (id, path, off, len) with `remaining`: bytes that no range of the same path covers.
 
-    Ranges and targets meet by equality on (path, bin of `width` bytes): a target is laid into its bins, a range into the bins it
-    touches, and each is clipped to the bin, so a bin's rows are the candidates and nothing is a cross join. A running maximum
-    of ends over the clipped ranges gives the length of their union."""
-    last = F.greatest(F.col("off") + F.col("len") - 1, F.col("off"))
-    bins = F.explode(F.sequence(F.floor(F.col("off") / width), F.floor(last / width)))
-    t = targets.select("id", "path", F.col("off").alias("t0"), (F.col("off") + F.col("len")).alias("t1"), bins.alias("bin"))
-    t = t.withColumns({"lo": F.greatest("t0", F.col("bin") * width), "hi": F.least("t1", (F.col("bin") + 1) * width)})
-    r = ranges.select("path", F.col("off").alias("r0"), (F.col("off") + F.col("len")).alias("r1"), bins.alias("bin"))
-    clipped = t.join(r, ["path", "bin"]).filter("r0 < hi and r1 > lo").select("id", F.greatest("r0", "lo").alias("s"), F.least("r1", "hi").alias("e"))
-    before = Window.partitionBy("id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    grown = clipped.withColumn("done", F.max("e").over(before))
-    covered = grown.groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce("done", "s")))).alias("covered"))
+    Targets meet the disjoint stretches of the ranges' union by equality on (path, bin), so however densely ranges overlap, a
+    target meets few rows, and the covered length is a plain sum with partial sums before the shuffle."""
+    t = _binned(targets.select("id", "path", "off", "len"), width).select("id", "path", "bin", "lo", "hi")
+    met = t.join(islands(ranges, width), ["path", "bin"]).filter("s < hi and e > lo")
+    covered = met.groupBy("id").agg(F.sum(F.least("hi", "e") - F.greatest("lo", "s")).alias("covered"))
     return targets.join(covered, "id", "left").select("id", "path", "off", "len", (F.col("len") - F.coalesce("covered", F.lit(0))).cast("bigint").alias("remaining"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +12,22 @@ from pyspark.sql import functions as F
 def lru_hits(trace: DataFrame, capacity: int) -> DataFrame:
     """trace (worker, step, item) -> (worker, hits, reads): least-recently-used caches of `capacity` items of equal size.
 
-    An access hits if fewer than `capacity` other items came between it and the last access of the same item. For each access
-    that has a predecessor, the items in between are those whose last access before it is later than the predecessor: counted by
-    a join on the worker that pairs an access with the accesses of its gap, first occurrences only."""
-    by = Window.partitionBy("worker", "item").orderBy("step")
-    seen = trace.select("worker", "step", "item", F.lag("step").over(by).alias("prev"), F.lead("step").over(by).alias("next"))
-    a, b = seen.filter("prev is not null").alias("a"), seen.alias("b")
-    gap = a.join(b, (F.col("a.worker") == F.col("b.worker")) & (F.col("b.step") > F.col("a.prev")) & (F.col("b.step") < F.col("a.step")) & (F.col("b.next").isNull() | (F.col("b.next") >= F.col("a.step"))), "left")
-    depth = gap.groupBy("a.worker", "a.step").agg(F.count("b.step").alias("between"))
-    hits = depth.filter(F.col("between") < capacity).groupBy("worker").agg(F.count(F.lit(1)).alias("hits"))
-    reads = trace.groupBy("worker").agg(F.count(F.lit(1)).alias("reads"))
-    return reads.join(hits, "worker", "left").select("worker", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"), "reads")
+    A worker's accesses are replayed in order by one task, in one pass: a replay is sequential by nature."""
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        cache: OrderedDict[str, None] = OrderedDict()
+        hits = 0
+        for item in pdf.sort_values("step", kind="stable")["item"]:
+            if item in cache:
+                hits += 1
+                cache.move_to_end(item)
+            else:
+                cache[item] = None
+                if len(cache) > capacity:
+                    cache.popitem(last=False)
+        return pd.DataFrame({"worker": [pdf["worker"].iloc[0]], "hits": [hits], "reads": [len(pdf)]})
+
+    return trace.groupBy("worker").applyInPandas(replay, "worker bigint, hits bigint, reads bigint")
 
 
 def packed_schedule(pairs: DataFrame, row_side: int, col_side: int, workers: int) -> DataFrame:
