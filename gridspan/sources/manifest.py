@@ -81,6 +81,52 @@ def read_segments(manifest: DataFrame) -> DataFrame:
     return manifest.select("index", "path", "segments").mapInArrow(run, "index string, path string, off bigint, data binary")
 
 
+#: Fixed values of the binary index form: marks before an entry, after it, and before each of its byte ranges.
+ENTRY_MARK, RANGE_MARK = b"#IDX#", b"#SEG#"
+
+
+def _vint(data: bytes, at: int) -> tuple[int, int]:
+    """A variable-length integer: one byte from -112 on is the value; lower ones say how many bytes follow."""
+    first = int.from_bytes(data[at : at + 1], "big", signed=True)
+    if first >= -112:
+        return first, at + 1
+    n, flip = (-112 - first, 0) if first >= -120 else (-120 - first, -1)
+    return int.from_bytes(data[at + 1 : at + 1 + n], "big") ^ flip, at + 1 + n
+
+
+def parse_index(data: bytes) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Entries (index, byte ranges) of a binary index file. A wrong mark is an error; an entry cut off at the end is dropped."""
+    out, at = [], 0
+    while at + len(ENTRY_MARK) <= len(data):
+        if data[at : at + 5] != ENTRY_MARK:
+            raise ValueError(f"no entry at byte {at}")
+        size, at = _vint(data, at + 5)
+        index, at, ranges = data[at : at + size].decode(), at + size, []
+        while data[at : at + 5] == RANGE_MARK and at + 21 <= len(data):
+            ranges.append((int.from_bytes(data[at + 5 : at + 13], "big"), int.from_bytes(data[at + 13 : at + 21], "big")))
+            at += 21
+        if at + 5 > len(data) or data[at : at + 5] == RANGE_MARK:
+            break
+        if data[at : at + 5] != ENTRY_MARK:
+            raise ValueError(f"neither a range nor an end at byte {at}")
+        out.append((index, ranges))
+        at += 5
+    return out
+
+
+def read_index_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(index, path, segments) from binary index files beside their data files, named by the suffix."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, p.removesuffix(suffix), [{"off": o, "len": n} for o, n in r]) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, r in parse_index(c)]
+            kind = pa.list_(pa.struct([("off", pa.int64()), ("len", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], kind)], ["index", "path", "segments"])
+
+    return files.mapInArrow(run, MANIFEST)
+
+
 class IndexedSource(DataSource):
     """spark.read.format("indexed").load(folder): (index, off, value) of files written by write_indexed."""
 

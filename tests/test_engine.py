@@ -211,6 +211,36 @@ def test_indexed_files_round_trip(spark, tmp_path):
     assert manifest.file_index(spark, path, "part-*").count() >= 1
 
 
+def test_binary_index_files(spark, tmp_path):
+    def entry(index, ranges):
+        name = index.encode()
+        size = bytes([len(name)]) if len(name) < 128 else bytes([0x8F, len(name)])
+        return b"#IDX#" + size + name + b"".join(b"#SEG#" + o.to_bytes(8, "big") + n.to_bytes(8, "big") for o, n in ranges) + b"#IDX#"
+
+    data = entry("edge\t0\t1", [(0, 32), (64, 16)]) + entry("n" * 200, [])
+    assert manifest.parse_index(data) == [("edge\t0\t1", [(0, 32), (64, 16)]), ("n" * 200, [])]
+    assert manifest.parse_index(data + b"#IDX#\x03ab") == manifest.parse_index(data)
+    with pytest.raises(ValueError, match="no entry"):
+        manifest.parse_index(b"#XXX#")
+    (tmp_path / "a.idx").write_bytes(data)
+    (tmp_path / "a").write_bytes(b"x")
+    got = manifest.read_index_files(spark, str(tmp_path), ".idx").collect()
+    assert sorted(len(r["segments"]) for r in got) == [0, 2] and all(r["path"].endswith("/a") for r in got)
+
+
+def test_binary_pairs_round_trip(spark, tmp_path):
+    from gridspan.functions import codec
+    from gridspan.sources import sequence
+
+    items = spark.createDataFrame([(bytes(4), [(1, 0.5)]), (b"\xff" * 4, [(2, 1.5), (3, 2.5)])], "key binary, items array<struct<i:int,v:double>>")
+    cells = spark.createDataFrame([(b"\0\0\0\1\0\0\0\2", [(1, 2, 0.25)])], "key binary, entries array<struct<row:int,col:int,val:double>>")
+    pairs = items.select("key", codec.pack_vector("items").alias("value")).unionByName(cells.select("key", codec.pack_matrix("entries").alias("value")))
+    sequence.write_pairs(pairs, f"{tmp_path}/pairs")
+    back = sequence.read_pairs(spark, f"{tmp_path}/pairs")
+    assert {r["b"]: [tuple(x) for x in r["items"]] for r in sequence.vector_blocks(back).collect()} == {0: [(1, 0.5)], -1: [(2, 1.5), (3, 2.5)]}
+    assert [(r["brow"], r["bcol"], [tuple(x) for x in r["entries"]]) for r in sequence.matrix_blocks(back).collect()] == [(1, 2, [(1, 2, 0.25)])]
+
+
 def test_streams(spark, tmp_path):
     from gridspan.streaming.words import streaming_word_count
 
