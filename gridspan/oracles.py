@@ -62,25 +62,26 @@ radius as (select node, max(last)::int as max_radius, round(coalesce(arg_max(cas
 )
 
 
-def vectors(assign: str) -> str:
-    return f"with v as (select vec_id as id, {assign} as grp from embeddings where vec_id < 200)"
+ENTRIES = "e as materialized (select p_partkey % 200 as id, count(*) as size from part group by 1)"
 
 
-PAIR_COUNT = " select a.id as l_id, count(*) as n, sum(b.id)::bigint as sum_r from v a join v b on {on} group by a.id"
-PARTNERS = f"""with v as (select vec_id as id from embeddings where vec_id < 200),
+def entries(assign: str) -> str:
+    return f"with {ENTRIES}, v as materialized (select id, size, {assign} as grp from e)"
+
+
+PAIR_COUNT = " select a.id as l_id, count(*) as n, sum(b.id)::bigint as sum_r, sum(a.size * b.size)::bigint as work from v a join v b on {on} group by a.id"
+PARTNERS = f"""with {ENTRIES}, v as (select id from e),
 pair as (select a.id as l, b.id as r from v a join v b on a.id <= b.id and {draw("'p-' || a.id || '-' || b.id")} < {int(0.2 * 2**32)}),
 partners as (select l as seg, r as partner from pair union select r, l from pair)"""
 SEGS = "with s as (select o_orderkey as id, (o_custkey % 20)::varchar as path, o_orderkey * 37 % 5000 as off, 1 + o_orderkey * 13 % 97 as len from orders)"
-COVER = (
-    SEGS
-    + """, t as (select id, path, off, len * 5 as len from s where id % 7 = 3), r as (select path, off, len from s where id % 7 <> 3),
+COVER = """with t as (select o_orderkey as id, (o_custkey % 20)::varchar as path, o_orderkey * 7919 % 1000000 as off, (1 + o_orderkey * 13 % 97) * 5 as len from orders),
+r as (select (l_partkey % 20)::varchar as path, (l_orderkey * 104729 + l_linenumber * 1299709 + l_suppkey * 31) % 1000000 as off, 1 + l_partkey * 17 % 97 as len from lineitem),
 c as (select t.id, greatest(r.off, t.off) as b, least(r.off + r.len, t.off + t.len) as e from t join r on t.path = r.path and r.off < t.off + t.len and r.off + r.len > t.off),
 w as (select id, b, e, max(e) over (partition by id order by b, e rows between unbounded preceding and 1 preceding) as done from c),
 u as (select id, sum(greatest(0, e - greatest(b, coalesce(done, b)))) as covered from w group by id),
 cover as (select t.id, path, off, len, (len - coalesce(covered, 0))::bigint as remaining from t left join u on t.id = u.id)"""
-)
-MATMUL = """select (a.vec_id % 4) as i, (b.vec_id % 5) as j, a.vec_id as r, b.vec_id as c, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) as v
-from embeddings a, embeddings b where b.label = 3"""
+MATMUL = """select (a.vec_id // 250)::int as i, (b.vec_id // 250)::int as j, a.vec_id as r, b.vec_id as c, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) as v
+from embeddings a, embeddings b"""
 COO = MAT + ",\ncoo as (select dst as row, src as col, p as val from mat)"
 
 
@@ -108,7 +109,7 @@ ORACLES: dict[str, str] = {
     "edge_text_scan": "select l_orderkey as src, count(*) as n, sum(l_partkey)::bigint as sum_dst from lineitem where l_linenumber not in (1, 2) group by l_orderkey",
     "vector_text_scan": "select p_partkey as node, p_retailprice as rank from part",
     "block_text_roundtrip": "select p_partkey as node, p_retailprice as v from part",
-    "matrix_text_parse": "select (l_suppkey % 16)::int as row, (l_partkey % 16)::int as col, sum(l_quantity) as val from lineitem where l_linenumber = 1 group by 1, 2",
+    "matrix_text_parse": "select (l_suppkey % 16)::int as row, (l_partkey % 16)::int as col, sum(l_quantity) as val from lineitem group by 1, 2",
     "sparse_matrix_gen": f"""with c as (select r as row, k as col from range(200) a(r), range(100) b(k) where {draw("'m-' || r || '-' || k")} < {int(0.02 * 2**32)})
 select row, col from c union all select r, {draw("'mr-' || r")} % 100 from range(200) a(r) where r not in (select row from c)""",
     "expand_adjacency": f"with {MAT} select src + n::bigint as src, dst + 2 * n::bigint as dst from edges, size",
@@ -152,24 +153,24 @@ reach as (select node, node as v from nodes union select b.b, r.v from reach r j
 select node, min(v) as v from reach group by node""",
     "gimv_or": hops(2, 1) + " select node, b0, b1 from h1",
     "gimv_bits": """with s as (select s_suppkey, s_acctbal, md5(s_suppkey || '-0') || md5(s_suppkey || '-1') as hex from supplier),
-cell as (select s_suppkey as brow, s_suppkey % 3 as b, k // 16 as r, k % 16 as i from s, range(256) t(k)
+cell as (select s_suppkey as brow, s_suppkey // 16 as b, k // 16 as r, k % 16 as i from s, range(256) t(k)
   where ((('0x' || substr(hex, (k // 8 * 2 + 1)::int, 2))::int >> (k % 16 % 8)::int) & 1) = 1),
-vec as (select s_suppkey % 3 as b, s_suppkey // 3 as i, s_acctbal as v from supplier where s_suppkey < 48)
+vec as (select s_suppkey // 16 as b, s_suppkey % 16 as i, s_acctbal as v from supplier)
 select brow as b, r::int as i, round(sum(v), 4) as v from cell join vec using (b, i) group by 1, 2 having sum(v) <> 0""",
     "diag_scale": "select p_partkey as node, round(p_retailprice * (1.0::double / (p_size - 1)), 8) as v from part where p_size <> 1 and p_retailprice <> 0",
     "matmul_blocks": MATMUL,
     "matmul_broadcast": MATMUL,
-    "sliding_dot": """with e as (select event_id as pos, trunc(value)::int as val from events), n as (select count(*) as n from e),
-s as (select k as step, sum(q.val * x.val)::bigint as s from range((select ceil((n - 64) / 16.0)::bigint from n)) t(k), e q, e x where q.pos < 64 and x.pos = k * 16 + q.pos group by k)
+    "sliding_dot": """with e as (select event_id as pos, trunc(value)::int as val from events), n as (select count(*) as n from e), q as (select n_nationkey as pos, n_regionkey * 7 - 13 as val from nation),
+s as (select k as step, sum(q.val * x.val)::bigint as s from range((select ceil((n - 25) / 16.0)::bigint from n)) t(k), q, e x where x.pos = k * 16 + q.pos group by k)
 select step, ((((s + 128) % 256 + 256) % 256) - 128)::int as v from s""",
     "pair_all": "select n_nationkey::bigint as l_id, r_regionkey::bigint as r_id from nation, region",
     "pair_half": "select a.n_nationkey::bigint as l_id, b.n_nationkey::bigint as r_id from nation a join nation b on a.n_nationkey <= b.n_nationkey",
     "pair_block_equi": f"with {EDGES} select distinct (dst % 4)::int as l_brow, (src % 4)::int as l_bcol, (src % 4)::int as r_b from edges",
-    "pair_sides": vectors("vec_id % 16") + PAIR_COUNT.format(on="a.id % 2 = 0 and b.id % 2 = 1 and a.grp < b.grp"),
-    "pair_diag_block": vectors("ntile(16) over (order by vec_id)") + PAIR_COUNT.format(on="a.grp = b.grp"),
-    "pair_circular_block": vectors("(row_number() over (order by vec_id) - 1) % 16") + PAIR_COUNT.format(on="a.grp = b.grp"),
-    "pair_shuffled_block": vectors("ntile(16) over (order by md5('b-' || vec_id), vec_id)") + PAIR_COUNT.format(on="a.grp = b.grp"),
-    "pair_random": vectors("0") + PAIR_COUNT.format(on=f"{draw("'p-' || a.id || '-' || b.id")} < {int(0.2 * 2**32)}"),
+    "pair_sides": entries("id % 16") + PAIR_COUNT.format(on="a.id % 2 = 0 and b.id % 2 = 1 and a.grp < b.grp"),
+    "pair_diag_block": entries("ntile(16) over (order by id)") + PAIR_COUNT.format(on="a.grp = b.grp"),
+    "pair_circular_block": entries("(row_number() over (order by id) - 1) % 16") + PAIR_COUNT.format(on="a.grp = b.grp"),
+    "pair_shuffled_block": entries("ntile(16) over (order by md5('b-' || id), id)") + PAIR_COUNT.format(on="a.grp = b.grp"),
+    "pair_random": entries("0") + PAIR_COUNT.format(on=f"{draw("'p-' || a.id || '-' || b.id")} < {int(0.2 * 2**32)}"),
     "join_table": PARTNERS + " select seg, count(*) as partners, sum(partner)::bigint as sum_partner from partners group by seg",
     "pair_task_count": PARTNERS + " select count(*) as n_tasks from pair",
     "partner_overlap": PARTNERS + """, sz as (select seg, count(*) as size from partners group by seg)

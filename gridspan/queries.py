@@ -83,7 +83,7 @@ def block_text_roundtrip(spark, sf_dir):
 
 @query
 def matrix_text_parse(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", F.concat_ws(" ", (F.col("l_partkey") % 16).cast("string"), (F.col("l_suppkey") % 16).cast("string"), F.col("l_quantity").cast("string")).alias("t"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat_ws(" ", (F.col("l_partkey") % 16).cast("string"), (F.col("l_suppkey") % 16).cast("string"), F.col("l_quantity").cast("string")).alias("t"))
     return line.select("l_orderkey", F.explode(text.parse_matrix_block(F.col("t"))).alias("e")).groupBy(F.col("e.row").alias("row"), F.col("e.col").alias("col")).agg(F.sum("e.val").alias("val"))
 
 
@@ -312,11 +312,11 @@ def gimv_or(spark, sf_dir):
 
 @query
 def gimv_bits(spark, sf_dir):
-    """A 16 x 16 bit matrix from the md5 digests of suppliers (two rows of it each), times balances."""
+    """A 16 x 16 bit matrix from two md5 digests of each supplier, times the balances of its block of 16 suppliers."""
     s = table(spark, sf_dir, "supplier")
     bits = F.unhex(F.concat(*[F.md5(F.concat(F.col("s_suppkey").cast("string"), F.lit(f"-{i}")).cast("binary")) for i in (0, 1)]))
-    blocks = s.select(F.col("s_suppkey").alias("brow"), (F.col("s_suppkey") % 3).alias("bcol"), bits.alias("bits"))
-    vec = s.filter("s_suppkey < 48").select((F.col("s_suppkey") % 3).alias("b"), F.floor(F.col("s_suppkey") / 3).cast("int").alias("i"), F.col("s_acctbal").alias("v"))
+    blocks = s.select(F.col("s_suppkey").alias("brow"), B.range_block(F.col("s_suppkey"), 16).alias("bcol"), bits.alias("bits"))
+    vec = s.select(B.range_block(F.col("s_suppkey"), 16).alias("b"), B.range_index(F.col("s_suppkey"), 16).alias("i"), F.col("s_acctbal").alias("v"))
     return rounded(semiring.gimv_bits(blocks, vec, 16), "v", 4)
 
 
@@ -337,27 +337,34 @@ def matmul_broadcast(spark, sf_dir):
 
 
 def _matmul(spark, sf_dir, strategy):
+    """Vectors in blocks of 250 rows, times themselves."""
     e = table(spark, sf_dir, "embeddings")
-    a = e.select((F.col("vec_id") % 4).alias("i"), F.col("vec_id").alias("r"), F.col("embedding").alias("vec"))
-    b = e.filter("label = 3").select((F.col("vec_id") % 5).alias("j"), F.col("vec_id").alias("c"), F.col("embedding").alias("vec"))
+    block = B.range_block(F.col("vec_id"), 250)
+    a = e.select(block.alias("i"), F.col("vec_id").alias("r"), F.col("embedding").alias("vec"))
+    b = e.select(block.alias("j"), F.col("vec_id").alias("c"), F.col("embedding").alias("vec"))
     return rounded(dense.matmul(a, b, strategy), "v", 6)
 
 
 @query
 def sliding_dot(spark, sf_dir):
+    """Nations' keys as the query, events' values as the series."""
+    q = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), (F.col("n_regionkey") * 7 - 13).alias("val"))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("value").cast("int").alias("val"))
-    return dense.sliding_dot(e.filter("pos < 64"), e, 64, e.count(), 16)
+    return dense.sliding_dot(q, e, q.count(), e.count(), 16)
 
 
 # Pairs
 
 
-def _vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 16).alias("grp"))
+def _entries(spark, sf_dir):
+    """(id, size, grp): the 200 modulo blocks of parts, as index entries."""
+    blocks = table(spark, sf_dir, "part").groupBy(B.mod_block(F.col("p_partkey"), 200).cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("size"))
+    return blocks.withColumn("grp", F.col("id") % 16)
 
 
 def _counted(pairs: DataFrame, key: str | Column = "l_id") -> DataFrame:
-    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("r_id").alias("sum_r"))
+    """Partners of each left entry, and the products of block sizes that its pairs stand for."""
+    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("r_id").alias("sum_r"), F.sum(F.col("l_size") * F.col("r_size")).alias("work"))
 
 
 @query
@@ -384,36 +391,36 @@ def pair_block_equi(spark, sf_dir):
 @query
 def pair_sides(spark, sf_dir):
     """Left entries of side A with right entries of side B."""
-    v = _vectors(spark, sf_dir).withColumn("side", F.when(F.col("id") % 2 == 0, "A").otherwise("B"))
+    v = _entries(spark, sf_dir).withColumn("side", F.when(F.col("id") % 2 == 0, "A").otherwise("B"))
     return _counted(pairjoin.pair_join(v, v, lambda a, b: (a["l_side"] == "A") & (b["r_side"] == "B") & (a["l_grp"] < b["r_grp"])))
 
 
 @query
 def pair_diag_block(spark, sf_dir):
-    v = pairjoin.assign_blocks(_vectors(spark, sf_dir).select("id"), 16, "contiguous")
+    v = pairjoin.assign_blocks(_entries(spark, sf_dir).select("id", "size"), 16, "contiguous")
     return _counted(pairjoin.pair_join(v, v, pairjoin.same("grp", "grp")))
 
 
 @query
 def pair_circular_block(spark, sf_dir):
-    v = pairjoin.assign_blocks(_vectors(spark, sf_dir).select("id"), 16, "circular")
+    v = pairjoin.assign_blocks(_entries(spark, sf_dir).select("id", "size"), 16, "circular")
     return _counted(pairjoin.pair_join(v, v, pairjoin.same("grp", "grp")))
 
 
 @query
 def pair_shuffled_block(spark, sf_dir):
-    v = pairjoin.assign_blocks(_vectors(spark, sf_dir).select("id"), 16, "shuffled")
+    v = pairjoin.assign_blocks(_entries(spark, sf_dir).select("id", "size"), 16, "shuffled")
     return _counted(pairjoin.pair_join(v, v, pairjoin.same("grp", "grp")))
 
 
 @query
 def pair_random(spark, sf_dir):
-    v = _vectors(spark, sf_dir).select("id")
+    v = _entries(spark, sf_dir).select("id", "size")
     return _counted(pairjoin.pair_join(v, v, pairjoin.at_random(0.2)))
 
 
 def _partners(spark, sf_dir):
-    v = _vectors(spark, sf_dir).select("id")
+    v = _entries(spark, sf_dir).select("id", "size")
     return pairjoin.join_table(pairjoin.pair_join(v, on=pairjoin.at_random(0.2), mode="half"))
 
 
@@ -444,11 +451,14 @@ def largest_group(spark, sf_dir):
 
 
 def _targets(spark, sf_dir):
-    return order_segments(spark, sf_dir).filter("id % 7 = 3").select("id", "path", F.col("off").alias("off"), (F.col("len") * 5).alias("len"))
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).cast("string").alias("path"), (F.col("o_orderkey") * 7919 % 1000000).alias("off"), ((1 + F.col("o_orderkey") * 13 % 97) * 5).alias("len"))
 
 
 def _ranges(spark, sf_dir):
-    return order_segments(spark, sf_dir).filter("id % 7 <> 3").select("path", "off", "len")
+    x = table(spark, sf_dir, "lineitem")
+    off = (F.col("l_orderkey") * 104729 + F.col("l_linenumber") * 1299709 + F.col("l_suppkey") * 31) % 1000000
+    return x.select((F.col("l_partkey") % 20).cast("string").alias("path"), off.alias("off"), (1 + F.col("l_partkey") * 17 % 97).alias("len"))
 
 
 @query
