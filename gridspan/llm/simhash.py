@@ -242,8 +242,9 @@ def join_shard(words: np.ndarray, asks: np.ndarray, cut: Slice, max_distance: in
 def near_edges(nodes: DataFrame, tables: list[Slice], max_distance: int, blocks64: int, shard_rows: int = 4096, sample_rows: int = 65536, hot_factor: int = 16) -> DataFrame:
     """(a, b): edges that connect exactly the classes of sketches that the tables find linked. nodes: (sketch), distinct.
 
-    sample_rows bounds the sample that the trees are built from. A shard of more than hot_factor * shard_rows rows is
-    dealt into blocks, and every pair of blocks is a task of its own: nothing is capped."""
+    sample_rows bounds the sample that the trees are built from. A shard of more than hot_factor times its share of rows is
+    dealt into blocks, and every pair of blocks is a task of its own: nothing is capped. Only such shards' counts reach the
+    driver, so there are at most len(tables) * leaves / hot_factor of them."""
     spark = nodes.sparkSession
     n = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows))))
@@ -267,7 +268,7 @@ def near_edges(nodes: DataFrame, tables: list[Slice], max_distance: int, blocks6
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(shard), pa.array(asking), batch.column(0).take(pa.array(rows))], ["t", "shard", "asks", "sketch"])
 
     dealt = nodes.select("sketch").mapInArrow(deal, "t int, shard int, asks boolean, sketch binary")
-    limit = hot_factor * shard_rows
+    limit = hot_factor * max(shard_rows, n // (1 + min(len(t) for t in trees)))
     blocks: list = []
     if n > limit:
         blocks = dealt.filter("not asks").groupBy("t", "shard").count().filter(F.col("count") > limit).collect()
@@ -309,12 +310,12 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_on(found, named, "sketch", "left")
 
 
-#: Near-duplicates by five-word shingles: 256 bits estimate the similarity, 20 overlapping slices of 20 bits find the pairs.
-NEAR_WIDTH, NEAR_BLOCKS = 5, 4
-NEAR_TABLES = [Slice(i * 13 % 256, 20, 1) for i in range(20)]
+#: Near-duplicates by five-word shingles: 512 bits estimate the similarity, 24 slices of 20 bits find the pairs.
+NEAR_WIDTH, NEAR_BLOCKS = 5, 8
+NEAR_TABLES = [Slice(i * 21, 20, 1) for i in range(24)]
 
 
-def distance_for(similarity: float, bits: int, errors: float = 0.5) -> int:
+def distance_for(similarity: float, bits: int, errors: float = 1.0) -> int:
     """Differing bits that stand for a Jaccard similarity: cosine 2s/(1+s) of equally long texts, its angle, and so many
     standard errors on top."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)

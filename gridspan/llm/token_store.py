@@ -236,5 +236,5 @@ def read_store(manifest: DataFrame, dictionary: bytes, check: bool = True) -> Da
     spread = manifest.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
     found = written(spread.select("file", "path").mapInArrow(run, "file int, id bigint, within bigint, n_tokens bigint, crc32 bigint"), "read_back")
     starts = running_start(found.groupBy("file").agg(F.sum("n_tokens").alias("n")), "file", "n", "base").select("file", "base")
-    out = found.join(F.broadcast(starts), "file")
+    out = found.join(starts, "file")
     return out.select(F.when(F.col("id") == -(2**63), None).otherwise(F.col("id")).alias("id"), (F.col("base") + F.col("within")).alias("start"), "n_tokens", "crc32")
