@@ -44,10 +44,11 @@ class PerfectHash:
                 break
             seed += 1
         self.keys: list[bytes | None] = [None] * n
-        self.values = np.zeros(n, np.int64)
+        self.values = [0] * n
         for i, at in enumerate(place.tolist()):
             self.keys[at] = keys[i]
             self.values[at] = i
+        self.shift = self.shift.tolist()
 
     def _slots(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
         low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
@@ -83,13 +84,14 @@ class PerfectHash:
                 return None
         return place
 
-    def find(self, keys: list[bytes]) -> list[int]:
-        """The index of each key, or -1."""
-        if not keys or not self.n:
-            return [-1] * len(keys)
-        h = np.array([xxhash.xxh3_64_intdigest(k, self.seed) for k in keys], np.uint64)
-        at = self._slots(h, self.shift[(h % np.uint64(self.buckets)).astype(np.int64)]).astype(np.int64)
-        return [v if self.keys[i] == k else -1 for k, i, v in zip(keys, at.tolist(), self.values[at].tolist(), strict=True)]
+    def find(self, key: bytes) -> int:
+        """The key's index, or -1."""
+        if not self.n:
+            return -1
+        h = xxhash.xxh3_64_intdigest(key, self.seed)
+        d = self.shift[h % self.buckets]
+        at = ((((h & 0xFFFFFFFF) + d * (h >> 32) + d * d) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 20) % self.n
+        return self.values[at] if self.keys[at] == key else -1
 
 
 class Vocabulary:
@@ -109,18 +111,36 @@ class Vocabulary:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}, pattern)
 
 
-class Codec:
-    """A worker's encoder and decoder. keep: pieces remembered; two generations of half as many each bound the memory."""
+class Codec(dict):
+    """A worker's encoder and decoder; as a dict, the encodings of pieces. keep: pieces remembered, in two generations of half as
+    many each, which bounds the memory."""
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 600_000):
+        super().__init__()
         v = vocabulary
         self.vocabulary, self.half = v, keep // 2
         self.ranks = dict(zip(v.words, v.ids, strict=True))
         self.token = dict(zip(v.ids, v.words, strict=True))
         self.find_all = regex.compile(v.pattern).findall
-        self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.half:
+            self.old = self.copy()
+            self.clear()
+        known = self.old.get(piece)
+        if known is None:
+            words = self.find_all(piece)
+            known = self._word(piece) if len(words) == 1 else b"".join([self[w] for w in words])
+        self[piece] = known
+        return known
+
+    def _word(self, word: str) -> bytes:
+        data = word.encode("utf-8", "surrogatepass")
+        at = self.vocabulary.hash.find(data)
+        ids = [self.vocabulary.ids[at]] if at >= 0 else self.merge(data)
+        return pack(f"<{len(ids)}I", *ids)
+
     def merge(self, word: bytes) -> list[int]:
         """Tier 2: the pair of the lowest rank, leftmost first, until no neighbours form an entry."""
         ranks, n = self.ranks, len(word)
@@ -149,19 +169,6 @@ class Codec:
             i = end[i]
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        memo, find_all, ids = self.memo, self.find_all, self.vocabulary.ids
-        split = {p: find_all(p) for p in pieces}
-        new = list({t for ts in split.values() for t in ts if t not in memo})
-        data = [t.encode("utf-8", "surrogatepass") for t in new]
-        known = {t: pack("<I", ids[i]) if i >= 0 else pack(f"<{len(m)}I", *m) for t, w, i in zip(new, data, self.vocabulary.hash.find(data), strict=True) for m in (self.merge(w) if i < 0 else (),)}
-        full = len(memo) + len(pieces) > self.half
-        made = {p: b"".join([known[t] if t in known else memo[t] for t in ts]) for p, ts in split.items()}
-        if full:
-            self.old, self.memo = memo, made
-        else:
-            memo.update(made)
-
     def _pieces(self, text: str) -> list[str]:
         parts = _SPLIT.split(text) if _ODD.search(text) or text[:1] == " " else text.split(" ")
         return parts[:1] + [" " + p for p in parts[1:]]
@@ -175,25 +182,7 @@ class Codec:
             stop = cut.start() if cut else len(text)
             parts = self._pieces(text[at:stop]) if at == 0 else [" " + p for p in self._parts_after(text[at:stop])]
             at = stop
-            try:
-                yield b"".join(map(self.memo.__getitem__, parts))
-                continue
-            except KeyError:
-                pass
-            for k in range(0, len(parts), self.half or 1):
-                some = parts[k : k + (self.half or 1)]
-                missing = {p for p in some if p not in self.memo}
-                back = {p for p in missing if p in self.old}
-                if back and len(self.memo) + len(missing) <= self.half:
-                    for p in back:
-                        self.memo[p] = self.old[p]
-                    missing -= back
-                if missing:
-                    self._learn(missing)
-                    late = {p for p in some if p not in self.memo}
-                    for p in late:
-                        self.memo[p] = self.old[p]
-                yield b"".join(map(self.memo.__getitem__, some))
+            yield b"".join(map(self.__getitem__, parts))
 
     @staticmethod
     def _parts_after(text: str) -> list[str]:
@@ -207,7 +196,7 @@ class Codec:
 _codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(vocabulary: Vocabulary, keep: int = 500_000) -> Codec:
+def codec(vocabulary: Vocabulary, keep: int = 600_000) -> Codec:
     """The worker's codec of a vocabulary; it lives on between tasks."""
     key = (vocabulary.digest, keep)
     if key not in _codecs:
