@@ -19,12 +19,18 @@ STRATEGIES = ("naive", "range_block", "mod_block", "rect_block", "secondary_sort
 def pagerank_step(mat: DataFrame, ranks: DataFrame, nodes: DataFrame, n: int, alpha: float = 0.15, hint: str | None = None) -> DataFrame:
     """mat (src, dst, p), ranks (node, rank) -> (node, rank) for all nodes."""
     r = ranks.select(F.col("node").alias("src"), "rank")
-    sums = mat.join(r.hint(hint) if hint else r, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("rank")).alias("s"))
-    return damped(nodes, sums, n, alpha)
+    parts = mat.join(r.hint(hint) if hint else r, "src").select(F.col("dst").alias("node"), (F.col("p") * F.col("rank")).alias("s"))
+    return _damped(parts, nodes.select("node"), ["node"], n, alpha)
 
 
-def damped(nodes: DataFrame, sums: DataFrame, n: int, alpha: float) -> DataFrame:
-    return nodes.join(sums, "node", "left").select("node", ((1.0 - alpha) * F.coalesce("s", F.lit(0.0)) + F.lit(alpha / n)).alias("rank"))
+def _damped(parts: DataFrame, own: DataFrame, keys: list[str], n: int, alpha: float) -> DataFrame:
+    """parts (keys, s) summed for the nodes of `own` (keys) -> (keys, rank).
+
+    The nodes join the sum as rows of 0 rather than by a join, so an iteration has one exchange, and its result is already
+    partitioned as the next product needs it."""
+    every = parts.withColumn("known", F.lit(False)).unionByName(own.withColumns({"s": F.lit(0.0), "known": F.lit(True)}))
+    sums = every.groupBy(*keys).agg(F.sum("s").alias("s"), F.max("known").alias("known")).filter("known")
+    return sums.select(*keys, ((1.0 - alpha) * F.col("s") + F.lit(alpha / n)).alias("rank"))
 
 
 def _blocked(mat: DataFrame, nodes: DataFrame, n: int, alpha: float, layout: str, rows: int, cols: int, width: int, grid: tuple[int, int] | None):
@@ -34,18 +40,20 @@ def _blocked(mat: DataFrame, nodes: DataFrame, n: int, alpha: float, layout: str
         blocks = B.range_matrix(coo, width)
         block, index = (lambda c: B.range_block(c, width)), (lambda c: B.range_index(c, width))
         node = F.col("brow").cast("bigint") * width + F.col("r")
+        own = nodes.select(block(F.col("node")).alias("brow"), index(F.col("node")).alias("r"))
     else:
         blocks = B.mod_matrix(coo, rows, cols)
         block, index = (lambda c: B.mod_block(c, cols)), (lambda c: B.mod_index(c, cols))
         node = F.col("r").cast("bigint") * rows + F.col("brow")
+        own = nodes.select(B.mod_block(F.col("node"), rows).alias("brow"), B.mod_index(F.col("node"), rows).alias("r"))
     if grid:
         blocks = B.sub_grid(blocks, *grid)
     blocks = blocks.select("brow", "bcol", "r", "c", "val").persist()
 
     def step(ranks: DataFrame) -> DataFrame:
         vec = ranks.select(block(F.col("node")).alias("bcol"), index(F.col("node")).alias("c"), "rank")
-        sums = blocks.join(vec, ["bcol", "c"]).groupBy("brow", "r").agg(F.sum(F.col("val") * F.col("rank")).alias("s")).select(node.alias("node"), "s")
-        return damped(nodes, sums, n, alpha)
+        parts = blocks.join(vec, ["bcol", "c"]).select("brow", "r", (F.col("val") * F.col("rank")).alias("s"))
+        return _damped(parts, own, ["brow", "r"], n, alpha).select(node.alias("node"), "rank")
 
     return blocks, step
 
