@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: The characters of the Unicode property White_Space.
 WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
 _SPLIT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
@@ -211,6 +213,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     Both digests are taken from the ids: of the ids as little-endian unsigned 32-bit integers, and of the bytes they decode
     to. Null texts are empty: no ids. Repeated rows give repeated results; other columns are not read. Texts are encoded in
     pieces of about a million characters. An empty table gives an empty result."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)

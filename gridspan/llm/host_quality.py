@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_on, written
+from .shared import bounded_batches, join_on, written
 
 SPACES, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
 WINDOW = 8
@@ -54,6 +54,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(id, host, the five statistics, base_failed): fewer than 20 words, or over 30 % of the words in repeated windows."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 PASSAGE = 64
 HASHED = 64
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -185,6 +187,7 @@ def held_out(id_col: str | Column, of: int = 4, rest: int = 2) -> Column:
 
 def _bags(texts: DataFrame) -> DataFrame:
     """(id, text) -> (id, x binary): the features of all passages."""
+    bounded_batches(texts.sparkSession)
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +223,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     Null and empty texts have one empty passage. Repeated rows get equal scores. Only the text is an input of the score. An
     empty table gives an empty result."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pa.Array) -> np.ndarray:

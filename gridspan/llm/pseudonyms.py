@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 ROUNDS = 10
 DEFAULT_KEY = b"replace this key"
 
@@ -261,6 +263,7 @@ def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text"
 
     A null text stays null; every row is taken by itself, so repeated rows get equal results. An existing column named found_col
     is replaced. An empty table gives an empty result."""
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != found_col]
     own = derived_key(key, "pii")
     item = "array<struct<kind:string,start:int,end:int,value:string>>"

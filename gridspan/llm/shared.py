@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import new_path, shared_dir, table, written
 
-__all__ = ["join_on", "new_path", "running_start", "shared_dir", "table", "written"]
+__all__ = ["bounded_batches", "join_on", "new_path", "running_start", "shared_dir", "table", "written"]
+
+
+#: Bytes of an Arrow batch of whole texts.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES: by default a batch of texts may hold 64 MB, several times over in the
+    executor's off-heap buffers and in its Python worker."""
+    if int(spark.conf.get(_BATCH_KEY).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
 def join_on(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import join_on, written
+from .shared import bounded_batches, join_on, written
 
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
 _PIECE = 1 << 20
@@ -93,6 +93,7 @@ def text_sketch(text: str | None, width: int, blocks64: int, seed: int = 42) ->
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, blocks64: int = 1, seed: int = 42) -> DataFrame:
     """(id, n_shingles, sketch) for every row. A null text has no words."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, running_start, written
+from .shared import bounded_batches, new_path, running_start, written
 
 MAGIC = b"GSIDS001"
 ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("n", "<u8"), ("crc", "<u4")])
@@ -179,6 +179,7 @@ def write_store(docs: DataFrame, model: str, end_id: int, path: str | None = Non
     Null texts are empty (only the end id). Null ids come first and are stored as the least signed 64-bit integer. Repeated ids
     stay, ordered by text. Other columns are not read. An empty table gives no documents."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or new_path(spark, "tokens")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = spark.sparkContext.broadcast(model)
