@@ -15,7 +15,7 @@ With slices that cover the sketch and radius = max_distance // tables, the searc
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,37 +60,56 @@ def _remix(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def text_sketch(text: str | None, width: int, blocks64: int, seed: int = 42) -> tuple[int, bytes]:
-    """(number of shingles, sketch as big-endian 64-bit words). No words: 0 and a zero sketch."""
-    total, counts = 0, np.zeros((blocks64, 64), np.int64)
-    carry: list[bytes] = []
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """One XXH64 for each shingle of `width` words, in order; of all words where there are fewer. No words: nothing."""
     digest = xxhash.xxh64_intdigest
 
-    def take(words: list[bytes], m: int) -> None:
-        nonlocal total
+    def take(words: list[bytes], m: int) -> Iterator[np.ndarray]:
         joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))[:m].tolist()
         ends = ends[len(words) - m :].tolist()
         for i in range(0, m, 16384):
-            h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[i : i + 16384], ends[i : i + 16384], strict=True)], np.uint64)
-            total += len(h)
-            for k in range(blocks64):
-                counts[k] += _bit_counts(_remix(h, k))
+            yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[i : i + 16384], ends[i : i + 16384], strict=True)], np.uint64)
 
+    none, carry = True, []
     for words in word_pieces((text or "").encode("utf-8", "surrogatepass").lower()):
         words = carry + words
         if len(words) >= width:
-            take(words, len(words) - width + 1)
+            none = False
+            yield from take(words, len(words) - width + 1)
         carry = words[len(words) - width + 1 :] if len(words) >= width else words
         if width == 1:
             carry = []
-    if not total and carry:
-        take(carry, 1)
+    if none and carry:
+        yield from take(carry, 1)
+
+
+def _sketch(chunks: Iterable[np.ndarray], blocks64: int) -> tuple[int, bytes]:
+    total, counts = 0, np.zeros((blocks64, 64), np.int64)
+    for h in chunks:
+        total += len(h)
+        for k in range(blocks64):
+            counts[k] += _bit_counts(_remix(h, k))
     bits = (counts * 2 > total).astype(np.uint8) if total else np.zeros((blocks64, 64), np.uint8)
     return total, np.packbits(bits, axis=1, bitorder="little").view("<u8").astype(">u8").tobytes()
 
 
+def text_sketch(text: str | None, width: int, blocks64: int, seed: int = 42) -> tuple[int, bytes]:
+    """(number of shingles, sketch as big-endian 64-bit words). No words: 0 and a zero sketch."""
+    return _sketch(shingle_hashes(text, width, seed), blocks64)
+
+
+def shingle_set(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """The distinct shingles of a text, as sorted hashes."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, width, seed)]))
+
+
+def set_sketch(hashes: np.ndarray, blocks64: int) -> tuple[int, bytes]:
+    """text_sketch where every distinct shingle counts once."""
+    return _sketch((hashes[i : i + 16384] for i in range(0, len(hashes), 16384)), blocks64)
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, blocks64: int = 1, seed: int = 42) -> DataFrame:
     """(id, n_shingles, sketch) for every row. A null text has no words."""
     bounded_batches(docs.sparkSession)
@@ -304,16 +323,24 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(sketches(docs, id_col, text_col, width, blocks64, seed), "sketches")
     nodes = written(found.groupBy("sketch").agg(F.min("id").alias("first")), "nodes")
     parts = connected_components(near_edges(nodes, tables, max_distance, blocks64, shard_rows)).withColumnRenamed("node", "sketch")
-    linked = join_on(nodes, parts, "sketch")
+    return join_on(found, _named(nodes, parts, "sketch"), "sketch", "left")
+
+
+def _named(nodes: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """(key, component): the least id of the class of each node (key, first); parts (key, component) has those with links."""
+    linked = join_on(nodes, parts, key)
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    named = join_on(linked, least, "component").select("sketch", "least")
-    named = written(join_on(nodes, written(named, "named"), "sketch", "left").select("sketch", F.coalesce("least", "first").alias("component")), "classes")
-    return join_on(found, named, "sketch", "left")
+    named = join_on(linked, least, "component").select(key, "least")
+    return written(join_on(nodes, written(named, "named"), key, "left").select(key, F.coalesce("least", "first").alias("component")), "classes")
 
 
-#: Near-duplicates by five-word shingles: 512 bits estimate the similarity, 24 slices of 20 bits find the pairs.
+#: Near-duplicates by sets of five-word shingles: 24 slices of 20 of 512 bits propose, exact similarities decide.
 NEAR_WIDTH, NEAR_BLOCKS = 5, 8
 NEAR_TABLES = [Slice(i * 21, 20, 1) for i in range(24)]
+#: Standard errors that a proposed pair may be further apart than its similarity implies.
+NEAR_ERRORS = 6.0
+#: A larger proposed group is dealt into blocks of about so many sets, or bytes of text.
+BLOCK_SETS, BLOCK_BYTES = 512, 4 << 20
 
 
 def distance_for(similarity: float, bits: int, errors: float = 1.0) -> int:
@@ -323,9 +350,107 @@ def distance_for(similarity: float, bits: int, errors: float = 1.0) -> int:
     return int(bits * p + errors * np.sqrt(bits * p * (1 - p)))
 
 
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, blocks64: int, seed: int = 42) -> DataFrame:
+    """(row, id, text, n_shingles, sketch, members) for every row: number and sketch of its distinct shingles, and a 128-bit
+    digest of them. `row` is unique in the result as it is written."""
+    bounded_batches(docs.sparkSession)
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = slim.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                got = []
+                for x in part.column(2):
+                    h = shingle_set(x.as_py(), width, seed)
+                    got.append((*set_sketch(h, blocks64), xxhash.xxh3_128_digest(h.tobytes())))
+                n, sketch, members = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(members, pa.binary())], ["row", "id", "text", "n_shingles", "sketch", "members"])
+
+    return slim.mapInArrow(run, f"row bigint, id {kind}, text string, n_shingles bigint, sketch binary, members binary")
+
+
+def join_sets(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what the pairs of Jaccard similarity `similarity` or more connect. Sets of one label are connected
+    already. Only pairs that would connect nothing new are left out."""
+    label, links = labels.copy(), []
+    size = np.array([len(x) for x in sets], np.int64)
+    at = np.concatenate(([0], np.cumsum(size)))
+    found, code = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(found), bool)
+    for i in range(1, len(sets)):
+        least, most = np.minimum(size[:i], size[i]), np.maximum(size[:i], size[i])
+        near = np.flatnonzero((label[:i] != label[i]) & (least / np.maximum(most, 1) >= similarity))
+        mine = code[at[i] : at[i + 1]]
+        mark[mine] = True
+        while len(near):
+            j, near = near[0], near[1:]
+            shared = np.count_nonzero(mark[code[at[j] : at[j + 1]]])
+            if shared / (size[i] + size[j] - shared) >= similarity:
+                links.append((i, int(j)))
+                label[label == label[j]] = label[i]
+                near = near[label[near] != label[i]]
+        mark[mine] = False
+    return links
+
+
+def _blocks(n, size):
+    return F.greatest(F.ceil(n / F.lit(BLOCK_SETS)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+
+
+def exact_classes(groups: DataFrame, found: DataFrame, width: int, similarity: float, seed: int = 42) -> DataFrame:
+    """(members, component) for every set with a link. groups (members, row, bytes, group): distinct sets, each with a row of
+    found that has its text; every pair of a group is linked if its Jaccard similarity, from the shingles, is `similarity` or more.
+
+    A group of many sets is dealt into blocks, each with one common set. Where that leaves the group in several classes, every
+    pair of blocks is a task, except pairs within the largest class, which are connected already: nothing is capped."""
+
+    def join(group: pa.Table) -> pa.Table:
+        members = group.column("members")
+        sets = [shingle_set(x.as_py(), width, seed) for x in group.column("text")]
+        labels = np.unique(np.array([x.as_py().hex() for x in group.column("label")]), return_inverse=True)[1]
+        links = np.array(join_sets(sets, labels, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"a": members.take(pa.array(links[:, 0])), "b": members.take(pa.array(links[:, 1]))})
+
+    def joined(dealt: DataFrame, *keys: str) -> DataFrame:
+        return dealt.select(*keys, "members", "label", "text").groupBy(*keys).applyInArrow(join, "a binary, b binary")
+
+    share = F.xxhash64("members")
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), F.min("members").alias("common"))
+    sizes = sizes.filter("n > 1").select("group", "common", _blocks(F.col("n"), F.col("size")).alias("k"))
+    texts = written(join_on(groups, sizes, "group").join(found.select("row", "text"), "row"), "texts")
+    block = F.when(F.col("members") == F.col("common"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.pmod(share, F.col("k")).cast("int")))
+    edges = written(joined(texts.withColumns({"label": F.col("members"), "i": F.explode(block)}), "group", "i"), "links")
+    parts = connected_components(edges)
+    many = texts.filter("k > 1")
+    if many.isEmpty():
+        return parts.withColumnRenamed("node", "members")
+
+    label = join_on(many.drop("text"), parts.withColumnRenamed("node", "members"), "members", "left").select("group", "members", "row", "bytes", F.coalesce("component", "members").alias("label"))
+    label = written(label, "labels")
+    each = label.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
+    both = each.groupBy("group").agg(F.max_by(F.struct("label", "n", "size"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).filter("n > main.n")
+    both = both.select("group", F.col("main.label").alias("main"), _blocks(F.col("main.n"), F.col("main.size")).alias("k"), _blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("o"))
+    left = join_on(label, both, "group").withColumn("own", F.when(F.col("label") == F.col("main"), F.pmod(share, F.col("k"))).otherwise(F.col("k") + F.pmod(share, F.col("o"))).cast("int"))
+    other = F.sequence(F.when(F.col("own") < F.col("k"), F.col("k")).otherwise(F.lit(0)), F.col("k") + F.col("o") - 1)
+    pairs = left.withColumn("with", F.explode(other)).select("group", "members", "row", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    more = written(joined(pairs.join(found.select("row", "text"), "row"), "group", "i", "j"), "links")
+    return connected_components(edges.unionByName(more)).withColumnRenamed("node", "members")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """simhash_classes for shingles of five words and an estimated similarity of 0.8 or more."""
-    return simhash_classes(docs, id_col, text_col, NEAR_WIDTH, NEAR_BLOCKS, NEAR_TABLES, distance_for(similarity, 64 * NEAR_BLOCKS), shard_rows=16384)
+    """(id, n_shingles, sketch, component): texts are linked if their sets of five-word shingles have a Jaccard similarity of
+    `similarity` or more; component as in simhash_classes.
+
+    Trees over the sketches of the sets only propose: the connected components of what they find within a generous distance
+    are groups, in which every pair is decided by the shingles themselves. Equal sets are merged first."""
+    found = written(shingle_sets(docs, id_col, text_col, NEAR_WIDTH, NEAR_BLOCKS), "sets")
+    nodes = written(found.groupBy("members").agg(F.min("id").alias("first"), F.min("sketch").alias("sketch"), F.min(F.struct("row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))).alias("one")).select("members", "first", "sketch", "one.row", "one.bytes"), "nodes")
+    proposed = near_edges(written(nodes.select("sketch").distinct(), "proposers"), NEAR_TABLES, distance_for(similarity, 64 * NEAR_BLOCKS, NEAR_ERRORS), NEAR_BLOCKS, shard_rows=16384)
+    groups = connected_components(proposed).select(F.col("node").alias("sketch"), F.col("component").alias("group"))
+    groups = written(join_on(nodes, groups, "sketch", "left").select("members", "row", "bytes", F.coalesce("group", "sketch").alias("group")), "groups")
+    named = _named(nodes, exact_classes(groups, found, NEAR_WIDTH, similarity), "members")
+    return join_on(found.drop("row", "text"), named, "members", "left").drop("members")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

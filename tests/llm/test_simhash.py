@@ -107,3 +107,54 @@ def test_components_of_chains_and_hubs(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)} | {200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def brute_near(texts, similarity=0.8):
+    """id -> least id of its class, by exact Jaccard similarity of five-word shingle sets; texts: id -> text."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [(t or "").encode().lower().split()]}
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if j < i and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in texts}
+
+
+def repeated_lines(seed=5):
+    """Texts of own words that share a line repeated often; others that repeat their own beginning; and altered copies."""
+    rng = random.Random(seed)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for times in (10, 20, 40):
+        line = words(12)
+        texts += [words(100) + line * times for _ in range(8)]
+    for n in (60, 150):
+        for _ in range(8):
+            w = words(n)
+            texts += [w, w + w[:12] * 6]
+    for changes in (1, 3, 5, 8):
+        for _ in range(6):
+            w = words(200)
+            v = list(w)
+            for k in rng.sample(range(200), changes):
+                v[k] = "changed"
+            texts += [w, v]
+    return {i: " ".join(w) for i, w in enumerate(texts)}
+
+
+def test_near_duplicates_are_decided_by_the_sets(spark, monkeypatch):
+    texts = repeated_lines()
+    want = brute_near(texts)
+    assert 0 < len(set(want.values())) < len(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for sets in (512, 3):
+        monkeypatch.setattr(S, "BLOCK_SETS", sets, raising=False)
+        assert {r["id"]: r["component"] for r in S.near_duplicate_classes(df).collect()} == want
+        assert {r["doc_id"] for r in S.keep_one(df).collect()} == set(want.values())
