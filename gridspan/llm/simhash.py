@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .components import connected_components
 from .shared import bounded_batches, join_on, written
@@ -351,11 +352,12 @@ def distance_for(similarity: float, bits: int, errors: float = 1.0) -> int:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, blocks64: int, seed: int = 42) -> DataFrame:
-    """(row, id, text, n_shingles, sketch, members) for every row: number and sketch of its distinct shingles, and a 128-bit
-    digest of them. `row` is unique in the result as it is written."""
+    """(row, id, text, rest, n_shingles, sketch, members) for every row: number and sketch of its distinct shingles, and a 128-bit
+    digest of them. `row` is unique in the result as it is written; rest is a struct of the other columns."""
     bounded_batches(docs.sparkSession)
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)])
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    result = StructType([*slim.schema.fields, *StructType.fromDDL("n_shingles bigint, sketch binary, members binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,9 +367,9 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, blocks
                     h = shingle_set(x.as_py(), width, seed)
                     got.append((*set_sketch(h, blocks64), xxhash.xxh3_128_digest(h.tobytes())))
                 n, sketch, members = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(members, pa.binary())], ["row", "id", "text", "n_shingles", "sketch", "members"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(members, pa.binary())], ["row", "id", "text", "rest", "n_shingles", "sketch", "members"])
 
-    return slim.mapInArrow(run, f"row bigint, id {kind}, text string, n_shingles bigint, sketch binary, members binary")
+    return slim.mapInArrow(run, result)
 
 
 def join_sets(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -438,24 +440,34 @@ def exact_classes(groups: DataFrame, found: DataFrame, width: int, similarity: f
     return connected_components(edges.unionByName(more)).withColumnRenamed("node", "members")
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """(id, n_shingles, sketch, component): texts are linked if their sets of five-word shingles have a Jaccard similarity of
-    `similarity` or more; component as in simhash_classes.
+def _near(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The shingle sets of all rows; distinct sets (members, first, sketch, row, bytes) with their least id, null ids last, and
+    its row; and (members, component) of the sets that have a link.
 
     Trees over the sketches of the sets only propose: the connected components of what they find within a generous distance
     are groups, in which every pair is decided by the shingles themselves. Equal sets are merged first."""
     found = written(shingle_sets(docs, id_col, text_col, NEAR_WIDTH, NEAR_BLOCKS), "sets")
-    nodes = written(found.groupBy("members").agg(F.min("id").alias("first"), F.min("sketch").alias("sketch"), F.min(F.struct("row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))).alias("one")).select("members", "first", "sketch", "one.row", "one.bytes"), "nodes")
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    nodes = written(found.groupBy("members").agg(F.min(least).alias("one"), F.min("sketch").alias("sketch")).select("members", F.col("one.id").alias("first"), "sketch", "one.row", "one.bytes"), "nodes")
     proposed = near_edges(written(nodes.select("sketch").distinct(), "proposers"), NEAR_TABLES, distance_for(similarity, 64 * NEAR_BLOCKS, NEAR_ERRORS), NEAR_BLOCKS, shard_rows=16384)
     groups = connected_components(proposed).select(F.col("node").alias("sketch"), F.col("component").alias("group"))
     groups = written(join_on(nodes, groups, "sketch", "left").select("members", "row", "bytes", F.coalesce("group", "sketch").alias("group")), "groups")
-    named = _named(nodes, exact_classes(groups, found, NEAR_WIDTH, similarity), "members")
-    return join_on(found.drop("row", "text"), named, "members", "left").drop("members")
+    return found, nodes, exact_classes(groups, found, NEAR_WIDTH, similarity)
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """(id, n_shingles, sketch, component): texts are linked if their sets of five-word shingles have a Jaccard similarity of
+    `similarity` or more; component as in simhash_classes."""
+    found, nodes, parts = _near(docs, id_col, text_col, similarity)
+    return join_on(found.select("id", "n_shingles", "sketch", "members"), _named(nodes, parts, "members"), "members", "left").drop("members")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One row of each near-duplicate class: that of the smallest doc_id; repeated rows of it count once. Rows whose doc_id
-    is null name no class and do not stay. Columns are those of docs."""
-    classes = near_duplicate_classes(docs, similarity=similarity)
-    kept = classes.filter(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each near-duplicate class: that of the smallest doc_id, then of the least digest of its shingles. A null doc_id
+    is larger than any other, so such a row stays where nothing else of its class has an id. Columns are those of docs."""
+    found, nodes, parts = _near(docs, "doc_id", "text", similarity)
+    classes = join_on(nodes, parts, "members", "left").withColumn("component", F.coalesce("component", "members"))
+    least = F.struct(F.col("first").isNull().alias("none"), "first", "members", "row")
+    kept = classes.groupBy("component").agg(F.min(least).alias("one")).select("one.row")
+    columns = {"doc_id": F.col("id"), "text": F.col("text").cast(docs.schema["text"].dataType)}
+    return found.join(kept, "row", "left_semi").select(*[columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])

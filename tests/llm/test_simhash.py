@@ -158,3 +158,15 @@ def test_near_duplicates_are_decided_by_the_sets(spark, monkeypatch):
         monkeypatch.setattr(S, "BLOCK_SETS", sets, raising=False)
         assert {r["id"]: r["component"] for r in S.near_duplicate_classes(df).collect()} == want
         assert {r["doc_id"] for r in S.keep_one(df).collect()} == set(want.values())
+
+
+def test_clean_rows_stay_whatever_their_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a, "p"), (1, b, "q"), (None, c, "r"), (None, c, "s"), (None, a, "t"), (None, d, "u"), (7, a, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `the rest` string")
+    kept = S.keep_one(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert len(got) == 4
+    assert {(r[0], r[1]) for r in got} == {(1, a), (1, b), (None, c), (None, d)}
+    assert all(tuple(r) in rows for r in got)
