@@ -7,6 +7,7 @@ the holder of the key can reverse it. Formats (lengths, separators, letter case)
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
@@ -132,16 +133,32 @@ def iban(text: str, key: bytes, back: bool = False) -> str | None:
 
 _FIRST = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST + 1
+#: Days from _FIRST whose day/month/year cannot be read as month/day/year.
+_DAY_FIRST = [i for i in range(_DAYS) if datetime.date.fromordinal(_FIRST + i).day > 12]
+
+
+def _day_first(y: int, month: int, day: int, key: bytes, back: bool) -> str | None:
+    try:
+        at = datetime.date(y, month, day).toordinal() - _FIRST
+    except ValueError:
+        return None
+    if not 0 <= at < _DAYS:
+        return None
+    at = _DAY_FIRST[feistel(bisect.bisect_left(_DAY_FIRST, at), len(_DAY_FIRST), key, "date day first", back)]
+    return datetime.date.fromordinal(_FIRST + at).strftime("%d/%m/%Y")
 
 
 def date(text: str, key: bytes, back: bool = False) -> str | None:
-    """Calendar dates of 1900 to 2099, year first or last; one set for all formats, so a date keeps its pseudonym in each."""
+    """Calendar dates of 1900 to 2099, year first or last; one set for all formats, so a date keeps its pseudonym in each.
+    With slashes the month comes first; where that is no date, the day, and such dates are a set of their own."""
     m = re.fullmatch(r"(\d{4})([-/.])(\d{2})\2(\d{2})", text)
     n = re.fullmatch(r"(\d{2})([-/.])(\d{2})\2(\d{4})", text)
     if m:
         y, month, day = int(m[1]), int(m[3]), int(m[4])
     elif n and n[2] == "/":
         y, month, day = int(n[4]), int(n[1]), int(n[3])
+        if month > 12:
+            return _day_first(y, day, month, key, back)
     elif n:
         y, month, day = int(n[4]), int(n[3]), int(n[1])
     else:

@@ -79,3 +79,16 @@ def test_rows_of_every_kind(spark):
     assert len({r["text"] for r in got if r["doc_id"] == 1}) == 1
     assert P.pseudonyms(df.limit(0)).collect() == []
     assert P.pseudonyms(df.select("text"), found_col=None).count() == len(rows)
+
+
+@pytest.mark.parametrize("value", ["31/12/1999", "13/01/1900", "29/02/1984", "31/12/2099"])
+def test_slash_dates_with_the_day_first(value):
+    new, found = P.pseudonymised(f"le {value}, ok", KEY)
+    assert [(f[0], f[1], f[2]) for f in found] == [("date", 3, 13)] and value not in new
+    assert datetime.datetime.strptime(new[3:13], "%d/%m/%Y").day > 12
+    assert P.pseudonymised(new, KEY, back=True)[0] == f"le {value}, ok"
+
+
+@pytest.mark.parametrize("value", ["13/13/1999", "31/02/1999", "30/02/2000", "31/12/1899"])
+def test_slash_dates_of_no_calendar_stay(value):
+    assert P.date(value, KEY) is None
