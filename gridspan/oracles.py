@@ -62,6 +62,30 @@ radius as (select node, max(last)::int as max_radius, round(coalesce(arg_max(cas
 )
 
 
+def walk(k: int) -> str:
+    """CTE walk (hop, node, status, masks): hops until nothing changes."""
+    cols, ors = ", ".join(f"b{i}" for i in range(k)), ", ".join(f"bit_or(b{i}) as b{i}" for i in range(k))
+    differ = " or ".join(f"g.b{i} <> o.b{i}" for i in range(k))
+    return f"""with recursive {EDGES},
+{fm(k)},
+walk as (select 0 as hop, node, status, {cols} from h0 union all
+  select g.hop + 1, g.node, case when {differ} then 'i' when o.status = 'i' then 'c' else 'f' end, {", ".join(f"g.b{i}" for i in range(k))}
+  from (select hop, node, {ors} from (select hop, src as node, {cols} from edges join walk on dst = node union all select hop, node, {cols} from walk) t group by hop, node) g
+  join walk o on g.node = o.node where exists (select 1 from walk where status = 'i'))"""
+
+
+WALK_CURVE = walk(K) + f""",
+curve as (select hop, case when hop = 0 then count(*)::double else sum({estimate(K)}) end as nh, sum((hop > 0 and status = 'c')::int)::bigint as converged, sum((hop > 0 and status = 'i')::int)::bigint as changed from walk group by hop)"""
+WALK_RADIUS = (
+    walk(K)
+    + f""",
+history as (select node, 0 as hop, 1.0::double as nh from nodes union all
+  select a.node, a.hop, {estimate(K)} as nh from (select node, hop from walk where hop > 0 and status = 'i') a join (select node, hop + 1 as hop, {", ".join(f"b{i}" for i in range(K))} from walk) b on a.node = b.node and a.hop = b.hop),
+rows as"""
+    + RADIUS.partition("),\nrows as")[2]
+)
+
+
 ENTRIES = "e as materialized (select p_partkey % 200 as id, count(*) as size from part group by 1)"
 
 
@@ -197,6 +221,13 @@ select seg % 8 as grp, seg, partners from (select *, row_number() over (partitio
     "effective_diameter": CURVE + f""", x as (select hop, nh, lag(nh) over (order by hop) as prev, 0.9::double * (select nh from curve where hop = {HOPS}) as lim from curve)
 select round(coalesce((select hop - 1 + (lim - prev) / (nh - prev) from x where hop > 0 and nh >= lim order by hop limit 1), -1.0::double), 6) as diameter""",
     "average_diameter": CURVE + ", x as (select hop, nh - lag(nh) over (order by hop) as gain from curve) select round(sum(hop * gain) / sum(gain), 6) as diameter from x",
+    "nh_curve_converged": WALK_CURVE + " select hop, round(nh, 6) as nh from curve",
+    "status_counts_converged": WALK_CURVE + " select hop, converged, changed from curve",
+    "node_radius_converged": WALK_RADIUS + " select node, max_radius, eff_radius from radius",
+    "radius_histogram_converged": WALK_RADIUS + " select floor(eff_radius + 0.5)::int as radius, count(*) as n from radius group by 1",
+    "effective_diameter_converged": WALK_CURVE + """, x as (select hop, nh, lag(nh) over (order by hop) as prev, 0.9::double * (select arg_max(nh, hop) from curve) as lim from curve)
+select round(coalesce((select hop - 1 + (lim - prev) / (nh - prev) from x where hop > 0 and nh >= lim order by hop limit 1), -1.0::double), 6) as diameter""",
+    "average_diameter_converged": WALK_CURVE + ", x as (select hop, nh - lag(nh) over (order by hop) as gain from curve) select round(sum(hop * gain) / sum(gain), 6) as diameter from x",
     "nh_exact": f"with {EDGES}, p0 as (select node, node as far from nodes), " + ", ".join(f"p{h} as materialized (select node, far from p{h - 1} union select node, dst from p{h - 1} join edges on far = src)" for h in range(1, 5)) + " " + " union all ".join(f"select {h} as hop, count(*) as n from p{h}" for h in range(5)),
     "bitshuffle_roundtrip": hops(4, 1) + " select node, b0, b1, b2, b3 from h1",
 }

@@ -51,8 +51,8 @@ class Radii:
     hops: int
 
 
-def radii(edges: DataFrame, nodes: DataFrame, k: int = 32, max_hops: int = 100, make_symmetric: bool = False, resume: tuple[DataFrame, int] | None = None) -> Radii:
-    """Hops until nothing changes or max_hops. Each hop's state is a written table, which also is where a later run can resume
+def radii(edges: DataFrame, nodes: DataFrame, k: int = 32, max_hops: int | None = None, make_symmetric: bool = False, resume: tuple[DataFrame, int] | None = None) -> Radii:
+    """Hops until nothing changes, or max_hops if given. Each hop's state is a written table, which also is where a later run can resume
     (state, hop)."""
     masks = names(k)
     edges = written((symmetric(edges) if make_symmetric else edges.select("src", "dst")).distinct(), "edges")
@@ -61,7 +61,7 @@ def radii(edges: DataFrame, nodes: DataFrame, k: int = 32, max_hops: int = 100,
     history = nodes.select("node", F.lit(0).alias("hop"), F.lit(1.0).alias("nh"))
     rows = [(0, float(nodes.count()), 0, 0)]
     h = first
-    while h < max_hops:
+    while max_hops is None or h < max_hops:
         h += 1
         after = written(hop(edges, state, k), f"state{h}")
         moved = after.filter("status = 'i'").select("node").join(state, "node")

@@ -535,7 +535,7 @@ def fm_functions(spark, sf_dir):
     return s.select("node", sketch.least_zero_pos(F.col("b0")).alias("z0"), sketch.least_zero_pos(F.col("b1")).alias("z1"), sketch.mask_hex(F.col("b0")).alias("hex0"), back.alias("back0"), F.round(sketch.fm_estimate([F.col("b0"), F.col("b1")]), 6).alias("nh"))
 
 
-def _radii(spark, sf_dir, hops: int = HOPS):
+def _radii(spark, sf_dir, hops: int | None = HOPS):
     return radius.radii(*_graph(spark, sf_dir), k=K, max_hops=hops)
 
 
@@ -569,6 +569,39 @@ def average_diameter(spark, sf_dir):
     return rounded(radius.average_diameter(_radii(spark, sf_dir).curve), "diameter", 6)
 
 
+# The same, hopping until nothing changes
+
+
+@query
+def nh_curve_converged(spark, sf_dir):
+    return rounded(_radii(spark, sf_dir, None).curve, "nh", 6).select("hop", "nh")
+
+
+@query
+def status_counts_converged(spark, sf_dir):
+    return _radii(spark, sf_dir, None).curve.select("hop", "converged", "changed")
+
+
+@query
+def node_radius_converged(spark, sf_dir):
+    return radius.node_radius(_radii(spark, sf_dir, None).history)
+
+
+@query
+def radius_histogram_converged(spark, sf_dir):
+    return radius.radius_histogram(radius.node_radius(_radii(spark, sf_dir, None).history))
+
+
+@query
+def effective_diameter_converged(spark, sf_dir):
+    return rounded(radius.effective_diameter(_radii(spark, sf_dir, None).curve), "diameter", 6)
+
+
+@query
+def average_diameter_converged(spark, sf_dir):
+    return rounded(radius.average_diameter(_radii(spark, sf_dir, None).curve), "diameter", 6)
+
+
 @query
 def nh_exact(spark, sf_dir):
     return radius.nh_exact(*_graph(spark, sf_dir), hops=4)

@@ -255,3 +255,24 @@ def test_streams(spark, tmp_path):
 def test_iterations_shuffle_the_vector_and_sums_only(graph):
     plan = pagerank(*graph, fixed_iterations=1)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_radii_hop_until_nothing_changes(spark):
+    n = 12
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    nodes = spark.range(n + 1).withColumnRenamed("id", "node")
+    masks = {r["node"]: r["b0"] for r in radius.init_state(nodes, 1).collect()}
+    r = radius.radii(e, nodes, k=1)
+    assert r.curve.orderBy("hop").collect()[-1]["changed"] == 0
+    want = {i: 0 for i in masks}
+    for i in masks:
+        for j in range(i, n + 1):
+            want[i] |= masks[j]
+    assert {x["node"]: x["b0"] for x in r.state.collect()} == want
+
+
+def test_converged_radii_go_beyond_five_hops(spark, sf_dir):
+    from gridspan import queries
+
+    last = queries.QUERIES["status_counts_converged"](spark, sf_dir.replace("sf0.001", "sf0.01")).orderBy("hop").collect()[-1]
+    assert last["changed"] == 0 and last["hop"] > queries.HOPS
