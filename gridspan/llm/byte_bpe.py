@@ -5,11 +5,12 @@ keys to free slots) finds a whole pre-token's id; the slot's key is compared, so
 that is no vocabulary entry is merged over a linked list of its bytes, the next merge taken from a heap of (rank, position).
 
 Texts are cut at single spaces between non-space characters, where no match of the pattern can reach over, and the
-encodings of these pieces are kept in a bounded memory per worker, since most pieces come again."""
+encodings of these pieces are kept in a memory per worker, bounded in bytes, since most pieces come again."""
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -19,11 +20,12 @@ from struct import pack
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import Remembered, bounded_batches
 
 #: The characters of the Unicode property White_Space.
 WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
@@ -96,15 +98,46 @@ class PerfectHash:
         return self.values[at] if self.keys[at] == key else -1
 
 
+def _ranges(chars: list[str]) -> str:
+    """Characters as the inside of a character class."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+@functools.cache
+def odd_characters(kind: str) -> tuple[str, str]:
+    """Characters that the regex module has in a class and tiktoken's own expressions have not, and the other way round: the two know
+    different versions of Unicode. The library is asked once, by a vocabulary of single bytes and a pattern of the class alone."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    theirs, ours = set(bytes(probe.encode_ordinary(every)).decode()), set(regex.findall(kind, every))
+    return _ranges([*(ours - theirs)]), _ranges([*(theirs - ours)])
+
+
 class Vocabulary:
-    """Ranks of a byte-level BPE vocabulary, and the pattern that splits text before merging."""
+    """Ranks of a byte-level BPE vocabulary, and the pattern that splits text before merging. `pattern` may hold \\s, \\S, \\p{L}, \\p{N}
+    and [^\\s\\p{L}\\p{N}]. `odd` finds the characters that need `exact`, the pattern with the library's classes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
+        other = r"[^\s\p{L}\p{N}]"
+        self.pattern = pattern.replace(other, rf"[^{WHITE}\p{{L}}\p{{N}}]").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
+        minus, plus = ("".join(x) for x in zip(*map(odd_characters, (r"\p{L}", r"\p{N}")), strict=True))
+        self.odd = f"[{minus}{plus}]" if minus or plus else ""
+        exact = pattern.replace(other, "\0")
+        for kind in (r"\p{L}", r"\p{N}"):
+            less, more = odd_characters(kind)
+            exact = exact.replace(kind, f"(?:{f'(?![{less}])' if less else ''}{kind}{f'|[{more}]' if more else ''})")
+        put = f"(?:{f'(?![{plus}])' if plus else ''}[^{WHITE}\\p{{L}}\\p{{N}}]{f'|[{minus}]' if minus else ''})"
+        self.exact = exact.replace("\0", put).replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.words = list(ranks)
         self.ids = list(ranks.values())
         self.hash = PerfectHash(self.words)
-        self.digest = hashlib.sha256(b"\0".join(self.words) + repr(self.ids).encode() + self.pattern.encode()).hexdigest()
+        self.digest = hashlib.sha256(b"\0".join(self.words) + repr(self.ids).encode() + self.exact.encode()).hexdigest()
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -113,29 +146,24 @@ class Vocabulary:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}, pattern)
 
 
-class Codec(dict):
-    """A worker's encoder and decoder; as a dict, the encodings of pieces. keep: pieces remembered, in two generations of half as
-    many each, which bounds the memory."""
+class Codec(Remembered):
+    """A worker's encoder and decoder; as a dict, the encodings of pieces. keep: bytes of memory for them."""
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 600_000):
-        super().__init__()
+    def __init__(self, vocabulary: Vocabulary, keep: int = 160 << 20):
+        super().__init__(keep)
         v = vocabulary
-        self.vocabulary, self.half = v, keep // 2
+        self.vocabulary = v
         self.ranks = dict(zip(v.words, v.ids, strict=True))
         self.token = dict(zip(v.ids, v.words, strict=True))
-        self.find_all = regex.compile(v.pattern).findall
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.half:
-            self.old = self.copy()
-            self.clear()
-        known = self.old.get(piece)
-        if known is None:
-            words = self.find_all(piece)
-            known = self._word(piece) if len(words) == 1 else b"".join([self[w] for w in words])
-        self[piece] = known
-        return known
+        self.plain, self.exact = regex.compile(v.pattern).findall, regex.compile(v.exact).findall
+        self.odd = re.compile(v.odd).search if v.odd else lambda _: None
+
+    def find_all(self, piece: str) -> list[str]:
+        return self.plain(piece) if piece.isascii() or not self.odd(piece) else self.exact(piece)
+
+    def find(self, piece: str) -> bytes:
+        words = self.find_all(piece)
+        return self._word(piece) if len(words) == 1 else b"".join([self[w] for w in words])
 
     def _word(self, word: str) -> bytes:
         data = word.encode("utf-8", "surrogatepass")
@@ -176,7 +204,8 @@ class Codec(dict):
         return parts[:1] + [" " + p for p in parts[1:]]
 
     def encode(self, text: str | None) -> Iterator[bytes]:
-        """The ids of a text as little-endian unsigned 32-bit integers, in pieces of about a million characters."""
+        """The ids of a text as little-endian unsigned 32-bit integers, in pieces of about a million characters. A stretch without a single
+        space between other characters is one piece, however long; its memory is in proportion to it."""
         text = text or ""
         at = 0
         while at < len(text):
@@ -198,7 +227,7 @@ class Codec(dict):
 _codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(vocabulary: Vocabulary, keep: int = 600_000) -> Codec:
+def codec(vocabulary: Vocabulary, keep: int = 160 << 20) -> Codec:
     """The worker's codec of a vocabulary; it lives on between tasks."""
     key = (vocabulary.digest, keep)
     if key not in _codecs:
@@ -212,7 +241,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
 
     Both digests are taken from the ids: of the ids as little-endian unsigned 32-bit integers, and of the bytes they decode
     to. Null texts are empty: no ids. Repeated rows give repeated results; other columns are not read. Texts are encoded in
-    pieces of about a million characters. An empty table gives an empty result."""
+    pieces of about a million characters, cut at single spaces; a text without any is one piece. An empty table gives an empty
+    result."""
     bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, new_path, running_start, written
+from .shared import Remembered, bounded_batches, new_path, running_start, written
 
 MAGIC = b"GSIDS001"
 ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("n", "<u8"), ("crc", "<u4")])
@@ -38,21 +38,19 @@ TAIL = struct.Struct("<QQ8s")
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
 
 
-class WordTokenizer(dict):
+class WordTokenizer(Remembered):
     """Ids by the tokenizers library for a model that lower-cases composed text, splits it into runs of letters, digits or marks
-    and never lets a pre-token hold white space: the pieces between white space are encoded one by one and remembered, as bytes,
-    in two generations that bound the memory."""
+    and never lets a pre-token hold white space: the pieces between white space are encoded one by one and remembered, as bytes.
+    keep: bytes of memory for them."""
 
-    def __init__(self, model: str, keep: int = 1_200_000):
+    def __init__(self, model: str, keep: int = 256 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
+        super().__init__(keep)
         self.model = Tokenizer.from_str(model)
         self.word = self.model.model.tokenize
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.char: dict[str, str] = {}
-        self.half = keep // 2
-        self.old: dict[bytes, bytes] = {}
 
     def _spelled(self, word: str) -> str:
         """A word of Latin letters in the byte characters that the model's merges are written in."""
@@ -61,16 +59,7 @@ class WordTokenizer(dict):
                 self.char[c] = self.bytes(c)[0][0]
         return "".join([self.char[c] for c in word])
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= self.half:
-            self.old = self.copy()
-            self.clear()
-        if (known := self.old.get(piece)) is None:
-            known = self._ids(piece)
-        self[piece] = known
-        return known
-
-    def _ids(self, piece: bytes) -> bytes:
+    def find(self, piece: bytes) -> bytes:
         """A word of Latin letters is one pre-token that only needs lower-casing, so it goes straight to the library's model; a
         full stop or comma after a plain word is a pre-token of its own; any other piece goes through the whole chain."""
         if piece.isalpha():
