@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,12 +63,47 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
 def test_rows_of_every_kind(spark):
     rows = [(1, "a b", "s"), (1, "a b", "s"), (2, None, "s"), (3, "", None), (None, "c", None), (4, "w " * 50_000, "t"), (5, "x", "u")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("id", F.lit(1))
+    df = df.withColumns({"_id": F.lit(1), "_copies": F.lit(2), "row": F.lit("r"), "n": F.lit(0), "first": F.lit(None).cast("int"), "k": F.lit(3)})
     out = M.mixed(df)
     assert out.columns == df.columns
     got = out.collect()
-    assert {r["doc_id"] for r in got} <= {1, 2, 3, 4, 5, None}
-    assert out.sparkSession.createDataFrame([], df.schema).count() == 0
+    assert {tuple(r) for r in got} <= {tuple(r) for r in df.collect()}
+    assert max(Counter(map(tuple, got)).values()) <= 4
     assert M.mixed(df.limit(0)).collect() == []
     sized = df.select(F.col("doc_id").alias("id"), "source", M.n_words("text").alias("size"))
     assert [r["size"] for r in sized.orderBy("id").collect()] == [1, 2, 2, 0, 0, 50_000, 1]
     assert len(M.copies(sized).collect()) == len(rows)
+    assert M.copies(sized.limit(0)).collect() == []
+
+
+def test_every_row_counts_whatever_its_id(spark):
+    """Two copies of everything: rows of one id or of none, equal rows, and ids beyond 53 bits all come out twice."""
+    rows = [(1, "a b", "s"), (1, "c d", "s"), (1, "a b", "s"), (None, "e", "s"), (None, "f", "s"), (2**62 + 1, "g", "s"), (2**62 + 2, "h", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(map(tuple, M.mixed(df, share=2.0).collect()))
+    assert got == {r: 2 * n for r, n in Counter(rows).items()}
+    sized = df.select(F.col("doc_id").alias("id"), "source", M.n_words("text").alias("size"))
+    assert Counter(r["id"] for r in M.copies(sized).collect()) == Counter(r[0] for r in rows)
+
+
+def test_a_hot_id_is_one_item(spark):
+    """Half of all rows have one id and size: their copies are as even as they go, and the source meets its target."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("id"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, F.lit(10)).otherwise(F.pmod(F.xxhash64("id"), F.lit(30)) + 1).alias("size"))
+    got = M.copies(rows, share=1.3, block_rows=64, fan=4).toPandas()
+    assert len(got) == 40_000 and got.copies.between(1, 2).all()
+    assert abs((got["size"] * got.copies).sum() - got.target[0]) <= 30
+    hot = got[(got.id == 7) & (got["size"] == 10)]
+    assert len(hot) >= 20_000 and abs(hot.copies.mean() - 1.3) < 0.001
+
+
+def test_mixed_against_the_copies(spark, sf_dir):
+    """Every document comes out as often as the rounding took it, and the sources meet their targets."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.toPandas()
+    rows["size"] = [len((t or "").encode().split()) for t in rows.text]
+    got = M.mixed(docs).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    taken = rows.assign(n=rows.doc_id.map(got).fillna(0)).assign(words=lambda x: x["size"] * x.n)
+    assert taken.n.max() <= 2
+    want = brute_targets(rows.groupby("source")["size"].sum().to_dict())
+    for s, g in taken.groupby("source"):
+        assert abs(g.words.sum() - want[s]) <= g["size"].max()
