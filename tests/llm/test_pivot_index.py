@@ -27,6 +27,53 @@ def brute(rows, threshold=0.98):
     return out
 
 
+def clustered(n, seed=12, dims=64):
+    """n vectors: a third alone, a third in small groups around a centre, a third in one large group; the links at about 0.98."""
+    rng = np.random.default_rng(seed)
+    spread = 0.9 * math.sqrt((1 / 0.985 - 1) / dims)
+    out = [*rng.normal(size=(n // 3, dims))]
+    while len(out) < 2 * n // 3:
+        c = rng.normal(size=dims)
+        out += [c + np.linalg.norm(c) * spread * rng.normal(size=dims) for _ in range(rng.integers(2, 8))]
+    c = rng.normal(size=dims)
+    out += [c + np.linalg.norm(c) * spread * rng.normal(size=dims) for _ in range(n - len(out))]
+    return np.float32(out)[rng.permutation(len(out))]
+
+
+def test_prunes_and_still_finds_the_links(spark):
+    """5,000 vectors of one label: under 5 % of the pairs are looked at, 99 % of the links are found, and no other."""
+    x = clustered(5000)
+    alone = np.float32(np.random.default_rng(2).normal(size=(5000, 64)))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(5000 + i, v.tolist(), 2) for i, v in enumerate(alone)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    report = {}
+    got = {r["id"]: r["n_links"] for r in I.near_vectors(df, report=report).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (u @ u.T >= 0.98).sum(axis=1) - 1
+    assert want.sum() > 500_000 and all(got[i] <= want[i] for i in range(5000))
+    assert sum(got[i] for i in range(5000)) >= 0.99 * want.sum()
+    alone = I.near_vectors(df.filter("label = 2"), report=report).collect()
+    assert report["tests"] < 0.05 * 5000 * 4999 / 2 and len(alone) == 5000
+
+
+def test_measured_recall(spark):
+    x = clustered(3000, seed=3)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    r = I.recall(df, block=500).first()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = (u @ u.T >= 0.98) & (np.arange(3000)[:, None] % 2 == np.arange(3000)[None, :] % 2)
+    assert r["queries"] == 150 and r["true_links"] == near[::20].sum() - 150
+    assert 0.99 * r["true_links"] <= r["found_links"] <= r["true_links"]
+
+
+def test_prefixes_are_the_nearest_pivots():
+    rng = np.random.default_rng(1)
+    x, p = rng.normal(size=(50, 8)), rng.normal(size=(30, 8))
+    want = np.sort(np.argsort(-(x @ p.T), axis=1)[:, :6], axis=1)
+    assert (I.prefixes(x, p, 6) == want).all()
+    assert I.prefixes(x, p[:1], 6).tolist() == [[-2, 0]] * 50 and I.prefixes(x, p[:0], 6).tolist() == [[-2, -1]] * 50
+
+
 def test_links_match_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 64))
