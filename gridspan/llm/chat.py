@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25.0, 1024
-PART = "type string, text string, ref string, width int, height int, seconds double, pages int"
+PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
 
 def escape(c: Column) -> Column:
@@ -42,6 +42,12 @@ def expanded_tokens(p: Column) -> Column:
     return F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).cast("long")
 
 
+def text_part(c: Column) -> Column:
+    """A plain text as the only part of its message."""
+    rest = [F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
+    return F.array(F.struct(F.lit("text").alias("type"), c.cast("string").alias("text"), *rest))
+
+
 def visit(parts: Column) -> Column:
     """Content parts -> struct(out, spans, refs): the flattened text, the code point spans that are text, the attachments."""
     spans, refs = "array<struct<s:bigint,e:bigint>>", "array<struct<kind:string,ref:string,tokens:bigint>>"
@@ -71,18 +77,15 @@ def visit(parts: Column) -> Column:
 
 
 def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
-    """(conv_id, n_messages, formatted, loss, attachments, expanded_tokens) for each conversation.
+    """(conv_id, n_messages, formatted, loss, attachments, expanded_tokens) for each conversation. Without parts_col, a message is one
+    part, its text.
 
     loss: spans of assistant text in `formatted`. attachments: kind, ref and tokens in order of their placeholders; placeholder
     numbers count within a message. A null text, role or part is empty; null turns come first; repeated turns stay, ordered by
     role and text. Rows with a null conversation id are one conversation. Other columns are not read. An empty table gives an
     empty result. A conversation is one row, so its text must fit in one."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    if parts_col is None:
-        body = escape(text)
-        content = F.struct(body.alias("out"), F.array(F.struct(F.lit(0).cast("long").alias("s"), F.char_length(body).cast("long").alias("e"))).alias("spans"), F.from_json(F.lit("[]"), "array<struct<kind:string,ref:string,tokens:bigint>>").alias("refs"))
-    else:
-        content = visit(F.filter(F.coalesce(F.col(parts_col), F.from_json(F.lit("[]"), f"array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>")), lambda p: p.isNotNull()))
+    parts = text_part(F.col(text_col)) if parts_col is None else F.coalesce(F.col(parts_col), F.from_json(F.lit("[]"), PARTS))
+    content = visit(F.filter(parts, lambda p: p.isNotNull()))
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), head.alias("head"), content.alias("content"))

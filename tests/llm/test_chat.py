@@ -6,7 +6,7 @@ from gridspan.llm import chat as C
 from gridspan.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import agree
 
-PARTS = f"array<struct<{C.PART.replace(' ', ':').replace(',:', ',')}>>"
+PARTS = C.PARTS
 
 
 def test_escaping_is_reversible_and_leaves_no_control_string(spark):
@@ -42,6 +42,15 @@ def test_typed_parts(spark):
     assert r["loss_text"] == "aabb" and len(r["loss"]) == 2
 
 
+def test_plain_texts_go_through_the_visitor(spark, sf_dir, monkeypatch):
+    """Without the visitor the query's result is another one."""
+    got = {tuple(r) for r in QUERIES["op7_chat"](spark, sf_dir).collect()}
+    whole = C.visit
+    monkeypatch.setattr(C, "visit", lambda parts: whole(F.filter(parts, lambda p: p["type"] != "text")))
+    none = QUERIES["op7_chat"](spark, sf_dir).collect()
+    assert len(none) == len(got) and all(r["loss_chars"] == 0 for r in none) and any(r[3] for r in got)
+
+
 def test_rows_of_every_kind(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (None, 1, None, "x"), (2, None, "assistant", "y" * 100_000), (2, 1, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("m", F.lit(1)).withColumn("content", F.lit("clash"))
