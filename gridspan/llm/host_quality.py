@@ -2,10 +2,11 @@
 
 Each document gets its statistics and a base verdict. Failures are summed by host (partial aggregation, so a hot host costs no
 more than others), the rates are shrunk towards an empirical beta prior fitted to all hosts by moments, and a host whose
-shrunk rate exceeds the threshold loses all its documents when the verdicts are joined back."""
+shrunk rate stands out from that prior loses all its documents when the verdicts are joined back."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,16 +84,25 @@ def beta_prior(rates: DataFrame) -> tuple[float, float]:
     return m * k, (1 - m) * k
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
+def host_limit(a: float, b: float, spreads: float, max_rate: float) -> float:
+    """The shrunk rate above which a host is bad: `spreads` standard deviations of the prior above its mean, max_rate at most. A host
+    of chance failures is shrunk to well below it, so hosts that differ by chance alone all stay."""
+    m = a / (a + b)
+    return min(max_rate, m + spreads * math.sqrt(m * (1 - m) / (a + b + 1)))
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", spreads: float = 2.0, max_rate: float = 0.5) -> DataFrame:
     """(id, host, statistics, base_failed, host_rate, kept) for every row.
 
-    host_rate = (n_failed + a) / (n_docs + a + b); kept: the document passes and host_rate <= max_rate. Null texts have no
-    words; a null host counts as one host; repeated rows count each; other columns are not read. An empty table gives an
+    host_rate = (n_failed + a) / (n_docs + a + b); kept: the document passes and host_rate <= host_limit, which the prior sets. Null texts
+    have no words; a null host counts as one host, apart from every other; repeated rows count each; other columns are not
+    read. A very long text is held in one worker, with its words and lines, a few times its size. An empty table gives an
     empty result."""
     rules = written(document_rules(docs, id_col, text_col, host_col), "rules")
     rates = host_rates(rules)
     a, b = beta_prior(rates)
-    none = F.lit("\x00")
-    verdicts = rates.select(F.coalesce("host", none).alias("hk"), ((F.col("n_failed") + a) / (F.col("n_docs") + a + b)).alias("host_rate"))
-    out = join_on(rules.withColumn("hk", F.coalesce("host", none)), verdicts, "hk", "left").drop("hk")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
+    # One string for each host, null included: a null host is "0", any other "1" and its name.
+    key = F.coalesce(F.concat(F.lit("1"), F.col("host")), F.lit("0"))
+    verdicts = rates.select(key.alias("hk"), ((F.col("n_failed") + a) / (F.col("n_docs") + a + b)).alias("host_rate"))
+    out = join_on(rules.withColumn("hk", key), verdicts, "hk", "left").drop("hk")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit(a, b, spreads, max_rate)))

@@ -12,16 +12,29 @@ import datetime
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches
 
 ROUNDS = 10
-DEFAULT_KEY = b"replace this key"
+#: The session's setting that holds the key, as hexadecimal digits.
+KEY_SETTING = "spark.gridspan.pseudonymKey"
+_drawn: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's configuration names. Where it names none, a random key of this application, which ends with it: equal
+    values are then linked within its results, and nobody can reverse them."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return bytes.fromhex(named)
+    return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -245,7 +258,7 @@ def _zones(text: str) -> Iterator[list[int]]:
         yield zone
 
 
-def pseudonymised(text: str | None, key: bytes = DEFAULT_KEY, back: bool = False) -> tuple[str | None, list[tuple[str, int, int, str]]]:
+def pseudonymised(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and (kind, start, end, pseudonym) of each value, in code points of the input."""
     if not text:
         return text, []
@@ -274,12 +287,15 @@ def derived_key(key: bytes, purpose: str) -> bytes:
     return hmac.new(key, purpose.encode(), hashlib.sha256).digest()
 
 
-def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", back: bool = False, found_col: str | None = "pii") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", back: bool = False, found_col: str | None = "pii") -> DataFrame:
     """All columns of docs, with pseudonyms in the text column; with found_col also an array of (kind, start, end, value), the
     places in the old text and what stands there now. With back and the same key the values return.
 
     A null text stays null; every row is taken by itself, so repeated rows get equal results. An existing column named found_col
-    is replaced. An empty table gives an empty result."""
+    is replaced. Texts are searched around their digits and "@" alone, so a very long one costs a pass and its own size a few
+    times. An empty key is refused. An empty table gives an empty result."""
+    if not key:
+        raise ValueError("pseudonyms: no key")
     bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != found_col]
     own = derived_key(key, "pii")

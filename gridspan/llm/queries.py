@@ -47,7 +47,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), "pii")
+    return pseudonyms.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonyms.session_key(spark)).select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), "pii")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,8 @@ hosts as (select source, count(*)::double as n, sum(base_failed::int)::double as
 mom as (select avg(f / n) as m, var_pop(f / n) as v from hosts),
 prior as (select case when m > 0 and m < 1 and v >= 1e-12 and v < m * (1 - m) then m * (m * (1 - m) / v - 1) else 1.0::double end as a,
   case when m > 0 and m < 1 and v >= 1e-12 and v < m * (1 - m) then (1 - m) * (m * (1 - m) / v - 1) else 1.0::double end as b from mom),
-verdict as (select source, (f + a) / (n + a + b) <= 0.5 as good from hosts, prior)
+lim as (select a, b, least(0.5::double, a / (a + b) + 2.0::double * sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1))) as top from prior),
+verdict as (select source, (f + a) / (n + a + b) <= top as good from hosts, lim)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and good) as kept
 from judged join verdict on judged.source is not distinct from verdict.source
 """,

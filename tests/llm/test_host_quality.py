@@ -43,3 +43,33 @@ def test_one_host_and_no_rows(spark):
     got = H.judged(df).collect()
     assert len(got) == 2 and all(r["base_failed"] for r in got)
     assert H.judged(df.limit(0)).collect() == []
+
+
+def test_a_host_that_stands_out_loses_its_documents(spark):
+    """Thirty hosts fail one document in twenty, one fails eight: below max_rate, but far above what the prior allows."""
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(100 * h + i, good if i >= (8 if h == 7 else 1 + h % 2) else "too short", f"h{h}") for h in range(30) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = H.judged(df).collect()
+    assert {r["host"] for r in got if not r["kept"] and not r["base_failed"]} == {"h7"}
+    assert all(r["kept"] for r in H.judged(df, spreads=100.0).collect() if not r["base_failed"])
+
+
+def test_hosts_that_differ_by_chance_stay(spark):
+    rng = random.Random(9)
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, good if rng.random() > 0.1 else "too short", f"h{i % 20}") for i in range(2000)]
+    got = H.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["kept"] != r["base_failed"] for r in got)
+
+
+def test_a_null_host_is_a_host_of_its_own(spark):
+    rows = [(i, "too short", s) for i, s in enumerate([None, "\x00", "", "0", None, "1"])]
+    got = H.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r["id"] for r in got) == list(range(6))
+
+
+def test_very_long_texts(spark):
+    text = "same words come again here now " * 40_000 + "\n" + "x" * 500_000
+    got = H.judged(spark.createDataFrame([(1, text, "h")], "doc_id long, text string, source string")).first()
+    assert (got["n_words"], got["n_repeat_words"], got["base_failed"]) == (240_001, 240_000, True)

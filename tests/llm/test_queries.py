@@ -59,7 +59,7 @@ def test_op4(spark, sf_dir):
 
 def test_op6(spark, sf_dir):
     docs = documents(sf_dir).set_index("doc_id").text
-    key = P.derived_key(P.DEFAULT_KEY, "pii")
+    key = P.derived_key(P.session_key(spark), "pii")
     got = {r["doc_id"]: r for r in QUERIES["op6_pseudonyms"](spark, sf_dir).collect()}
     assert set(got) == set(docs.index)
     for i, text in docs.items():
