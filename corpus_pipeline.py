@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values become pseudonyms of the same format."""
-    return pseudonyms.pseudonyms(docs, found_col=None)
+    return pseudonyms.pseudonyms(docs, pseudonyms.session_key(spark), found_col=None)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
