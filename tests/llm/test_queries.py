@@ -12,6 +12,7 @@ from gridspan.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_pseudonyms import P
 from tests.llm.test_sharding import brute as brute_shards
+from tests.llm.test_sharding import buckets_of
 from tests.llm.test_simhash import brute_classes, brute_fingerprint
 from tests.llm.test_token_store import brute as brute_store
 from tests.oracle import agree
@@ -36,7 +37,8 @@ def test_op2(spark, sf_dir):
 
 def test_op3(spark, sf_dir):
     docs = documents(sf_dir)
-    want = brute_shards(docs.doc_id.tolist(), 24, 7, 256)
+    plain = list(zip(docs.doc_id.tolist(), docs.text, strict=True))
+    want = {i: x for (i, _), x in brute_shards(plain, 24, 7, buckets_of(plain)).items()}
     text = docs.set_index("doc_id").text
     for r in QUERIES["op3_sharding"](spark, sf_dir).collect():
         data = text[r["doc_id"]].encode()
