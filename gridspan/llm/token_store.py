@@ -5,8 +5,9 @@ are ranged by id, and each range is one file, in id order:
 
     magic | dictionary hash (32 bytes) | frames ... | index | offset of the index (8 bytes) | number of documents (8 bytes) | magic
 
-The index has, for each document: id (8 bytes, signed), offset of its frame (8), number of ids (8), crc32 of its ids (4). Ids
-are little-endian unsigned 32-bit integers. One short document is read by its index entry and one frame alone.
+The index has, for each document: id (8 bytes, signed), offset of its frame (8), number of ids (8), crc32 of its ids (4), and 1 where
+it has no id (1). Ids are little-endian unsigned 32-bit integers. One short document is read by its index entry and one frame
+alone; a whole file is read in ranges of many frames.
 
 Files go to a folder that all executors share, through pyarrow's filesystems; each is written under a name of its own and then
 moved into place, so a task that runs again replaces its file by the same bytes."""
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from .shared import Remembered, bounded_batches, new_path, running_start, written
 
 MAGIC = b"GSIDS001"
-ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("n", "<u8"), ("crc", "<u4")])
+ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("n", "<u8"), ("crc", "<u4"), ("none", "u1")])
 TAIL = struct.Struct("<QQ8s")
+#: Bytes of text that go to a file.
+FILE_BYTES = 128 << 20
 
 
 #: Composed letters of ASCII, Latin-1 and Latin Extended-A whose lower case is one letter.
@@ -94,10 +97,10 @@ def tokenizer(model: str) -> WordTokenizer:
 
 
 def train_dictionary(docs: DataFrame, encode: Callable[[], Callable[[str | None], Iterator[bytes]]], end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 1024, sample_bytes: int = 16384, size: int = 65536) -> bytes:
-    """A zstandard dictionary from the first sample_bytes of the ids of sample_docs documents, chosen by the hash of their id:
-    both are bounds on what reaches the driver. Empty if there are too few samples to train on."""
-    chosen = docs.select(F.col(id_col).alias("id")).filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen.distinct()), "id", "left_semi")
+    """A zstandard dictionary from the first sample_bytes of the ids of sample_docs documents, chosen by the hash of their id, one for
+    each id: both are bounds on what reaches the driver. Empty if there are too few samples to train on."""
+    chosen = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encode()
@@ -113,15 +116,16 @@ def train_dictionary(docs: DataFrame, encode: Callable[[], Callable[[str | None]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["id", "raw"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    samples = [bytes(r["raw"]) for r in sorted(rows.mapInArrow(run, f"id {kind}, raw binary").collect(), key=lambda r: r["id"])][: 2 * sample_docs]
+    one = rows.mapInArrow(run, f"id {kind}, raw binary").groupBy("id").agg(F.min("raw").alias("raw"))
+    samples = [bytes(r["raw"]) for r in sorted(one.collect(), key=lambda r: r["id"])]
     try:
         return zstandard.train_dictionary(size, samples, level=3).as_bytes()
     except zstandard.ZstdError:
         return b""
 
 
-def write_file(path: str, documents: Iterator[tuple[int, bytes]], dictionary: bytes, level: int = 3) -> int:
-    """A file of documents (id, ids as bytes), in the order given; the number of documents."""
+def write_file(path: str, documents: Iterator[tuple[int | None, bytes]], dictionary: bytes, level: int = 3) -> int:
+    """A file of documents (id or None, ids as bytes), in the order given; the number of documents."""
     fs, inner = pafs.FileSystem.from_uri(path)
     fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
     packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False, write_content_size=True)
@@ -131,7 +135,7 @@ def write_file(path: str, documents: Iterator[tuple[int, bytes]], dictionary: by
         at = len(MAGIC) + 32
         for key, raw in documents:
             frame = packer.compress(raw)
-            entries.append((key, at, len(raw) // 4, zlib.crc32(raw)))
+            entries.append((key or 0, at, len(raw) // 4, zlib.crc32(raw), key is None))
             out.write(frame)
             at += len(frame)
         out.write(np.array(entries, ENTRY).tobytes() + TAIL.pack(at, len(entries), MAGIC))
@@ -157,39 +161,53 @@ class Reader:
         start = int(self.entries["offset"][k])
         return self.unpacker.decompress(self.file.read_at(int(self.ends[k]) - start, start))
 
+    def scan(self, block: int = 4 << 20) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """All documents in order, as (entries, ids of each), about `block` bytes of the file at a time."""
+        starts, ends = self.entries["offset"].astype(np.int64), self.ends.astype(np.int64)
+        k = 0
+        while k < len(starts):
+            stop = max(k + 1, int(np.searchsorted(ends, starts[k] + block, "right")))
+            raw = self.file.read_at(int(ends[stop - 1] - starts[k]), int(starts[k]))
+            yield self.entries[k:stop], [self.unpacker.decompress(raw[a:b]) for a, b in zip((starts[k:stop] - starts[k]).tolist(), (ends[k:stop] - starts[k]).tolist(), strict=True)]
+            k = stop
+
     def close(self) -> None:
         self.file.close()
 
 
 def write_store(docs: DataFrame, model: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> tuple[DataFrame, bytes]:
     """Encode every whole text, append end_id, and write the files; (file int, path, n_docs) for each, and the dictionary,
-    which is also written beside them, named by its hash. Files are numbered in ascending id order.
+    which is also written beside them, named by its hash. Files are numbered in ascending id order; there are as many as the session
+    has shuffle partitions, or more, so that none has more than about FILE_BYTES of text.
 
-    Null texts are empty (only the end id). Null ids come first and are stored as the least signed 64-bit integer. Repeated ids
-    stay, ordered by text. Other columns are not read. An empty table gives no documents."""
+    Null texts are empty (only the end id). Null ids come first. Repeated ids stay, ordered by a hash of their text, and may lie
+    in several files; rows of equal id and text lie in one. The ids of a very long text are joined in its worker's memory, four
+    bytes each. Other columns are not read. An empty table gives no documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
     path = path or new_path(spark, "tokens")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if files is None:
+        size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     held = spark.sparkContext.broadcast(model)
     dictionary = train_dictionary(docs, lambda: tokenizer(held.value).encode, end_id, id_col, text_col)
     fs, inner = pafs.FileSystem.from_uri(path)
     fs.create_dir(inner, recursive=True)
     with fs.open_output_stream(f"{inner}/dictionary-{hashlib.sha256(dictionary).hexdigest()}") as out:
         out.write(dictionary)
-    slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranged = slim.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = slim.repartitionByRange(files, *order).sortWithinPartitions(*order)
     shared = spark.sparkContext.broadcast(dictionary)
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(held.value)
 
-        def documents() -> Iterator[tuple[int, bytes]]:
+        def documents() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
                 for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                    key = -(2**63) if key.as_py() is None else key.as_py()
-                    yield key, b"".join([*own.encode(text.as_py()), end])
+                    yield key.as_py(), b"".join([*own.encode(text.as_py()), end])
 
         from pyspark import TaskContext
 
@@ -210,21 +228,19 @@ def read_store(manifest: DataFrame, dictionary: bytes, check: bool = True) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, path in zip(batch.column(0), batch.column(1), strict=True):
-                reader = Reader(path.as_py(), shared.value)
-                n, crc = [], []
-                for k in range(len(reader.entries)):
-                    raw = reader.ids(k)
-                    n.append(len(raw) // 4)
-                    crc.append(zlib.crc32(raw))
-                e = reader.entries
+                reader, within = Reader(path.as_py(), shared.value), 0
+                for entries, documents in reader.scan():
+                    size, crc = np.array([len(x) // 4 for x in documents], np.int64), np.array([zlib.crc32(x) for x in documents], np.int64)
+                    if check and ((entries["n"] != size).any() or (entries["crc"] != crc).any()):
+                        raise ValueError(f"{path}: documents differ from the index")
+                    at = within + np.cumsum(size) - size
+                    within += int(size.sum())
+                    ids = pa.array(entries["id"].astype(np.int64), mask=entries["none"].astype(bool))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), number.as_py(), np.int32)), ids, pa.array(at), pa.array(size), pa.array(crc)], ["file", "id", "within", "n_tokens", "crc32"])
                 reader.close()
-                if check and (e["n"].tolist() != n or e["crc"].tolist() != crc):
-                    raise ValueError(f"{path}: documents differ from the index")
-                size = np.array(n, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number.as_py(), np.int32)), pa.array(e["id"].astype(np.int64)), pa.array(np.cumsum(size) - size), pa.array(size), pa.array(np.array(crc, np.int64))], ["file", "id", "within", "n_tokens", "crc32"])
 
     spread = manifest.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
     found = written(spread.select("file", "path").mapInArrow(run, "file int, id bigint, within bigint, n_tokens bigint, crc32 bigint"), "read_back")
     starts = running_start(found.groupBy("file").agg(F.sum("n_tokens").alias("n")), "file", "n", "base").select("file", "base")
     out = found.join(starts, "file")
-    return out.select(F.when(F.col("id") == -(2**63), None).otherwise(F.col("id")).alias("id"), (F.col("base") + F.col("within")).alias("start"), "n_tokens", "crc32")
+    return out.select("id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "crc32")
