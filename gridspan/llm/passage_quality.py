@@ -8,7 +8,6 @@ every document is then scored in full. Nothing is shuffled for scoring."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -198,51 +197,67 @@ def _bags(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"id {kind}, x binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 3) -> Model:
-    """Learn from at most sample_docs labelled documents that are not held out, half of them of either label where there are
-    enough, in the order of a hash of their id. Labels other than 0 and 1 are ignored; an id labelled twice takes the lower."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 3) -> Model:
+    """Learn from labelled documents that are not held out: at most sample_docs, half of them of either label where there are enough, in
+    the order of a hash of their id, and at most sample_bytes of text in all, documents that would exceed it being passed over.
+    These two bound what reaches the driver. Of several rows of an id one counts, that of the least text. Labels other than 0 and
+    1 are ignored; an id labelled twice takes the lower. Null texts have one empty passage. Without labels every score is 0.5."""
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     order = F.xxhash64(F.lit(seed).cast("long"), "id")
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     half = sample_docs // 2
     low = min(counts.get(0, 0), max(half, sample_docs - counts.get(1, 0)))
-    chosen = [(r["id"], r["y"]) for y, n in ((0, low), (1, sample_docs - low)) for r in usable.filter(F.col("y") == y).orderBy(order, "id").limit(n).collect()]
+    ranked = [[(r["id"], r["y"]) for r in usable.filter(F.col("y") == y).orderBy(order, "id").limit(n).collect()] for y, n in ((0, low), (1, sample_docs - low))]
+    known = dict(x for part in ranked for x in part)
+    if not known:
+        return fit([], np.empty(0))
+
+    def of(ids: list) -> DataFrame:
+        picked = docs.sparkSession.createDataFrame([(i,) for i in ids], usable.select("id").schema)
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        return texts.join(F.broadcast(picked), "id", "left_semi").groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+    size = {r["id"]: r["n"] for r in of([*known]).select("id", F.octet_length("text").alias("n")).collect()}
+    chosen, left = [], sample_bytes
+    for k in range(max(map(len, ranked))):
+        for i in (part[k][0] for part in ranked if k < len(part)):
+            if i in size and size[i] <= left:
+                chosen.append(i)
+                left -= size[i]
     if not chosen:
         return fit([], np.empty(0))
-    known = dict(chosen)
-    picked = docs.sparkSession.createDataFrame(chosen, usable.schema).select("id")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id", "left_semi")
-    rows = sorted(((r["id"], bytes(r["x"])) for r in _bags(texts).collect()), key=lambda r: (r[0], hashlib.sha256(r[1]).digest()))
+    rows = sorted((r["id"], bytes(r["x"])) for r in _bags(of(chosen)).collect())
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for _, x in rows]
     return fit(bags, np.array([known[k] for k, _ in rows], np.float64), seed=seed)
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep_columns: bool = False) -> DataFrame:
-    """(id, held_out, score, predicted) for every row; with keep_columns all columns of docs, with `score` and `predicted`
-    (columns of these names are replaced).
-
-    Null and empty texts have one empty passage. Repeated rows get equal scores. Only the text is an input of the score. An
-    empty table gives an empty result."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(texts: pa.Array) -> np.ndarray:
-        bags = [passages((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in texts]
-        return shared.value.scores(np.vstack(bags).astype(np.float64), np.array([len(x) for x in bags])) if bags else np.empty(0)
+def _with_score(slim: DataFrame, model: Model, kept: str) -> DataFrame:
+    """(kept, text) -> (kept, score)."""
+    bounded_batches(slim.sparkSession)
+    shared = slim.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                s = score(part.column(part.schema.get_field_index("text")))
-                columns = [part.column(i) for i in range(part.num_columns) if keep_columns or part.schema.names[i] != "text"]
-                names = [n for n in part.schema.names if keep_columns or n != "text"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64())], [*names, "score"])
-
-    if keep_columns:
-        names = [c for c in docs.columns if c not in ("score", "predicted")]
-        slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-        out = slim.mapInArrow(run, f"row {slim.schema['row'].dataType.simpleString()}, text string, score double")
-        return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, score double")
+                bags = [passages((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in part.column(1)]
+                s = shared.value.scores(np.vstack(bags).astype(np.float64), np.array([len(x) for x in bags]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], [kept, "score"])
+
+    return slim.mapInArrow(run, f"{kept} {slim.schema[kept].dataType.simpleString()}, score double")
+
+
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """(id, held_out, score, predicted) for every row.
+
+    Null and empty texts have one empty passage. Repeated rows get equal scores. Only the text is an input of the score; other
+    columns are not read. The passages of the texts of an Arrow batch (4 MB, or one longer text) are in memory together, at about
+    three times their size. An empty table gives an empty result."""
+    out = _with_score(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model, "id")
     return out.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs whose score is threshold or more, unchanged, whatever their columns are named; as scored() for the rest."""
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = _with_score(slim, model, "row").filter(F.col("score") >= threshold)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
