@@ -13,7 +13,7 @@ from gridspan.llm.shared import table, written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labels, score every document; those below the threshold go."""
     model = passage_quality.train(docs, table(spark, sf_dir, "labels"))
-    return passage_quality.scored(docs, model, keep_columns=True).filter("predicted = 1").select(*[f"`{c}`" for c in docs.columns])
+    return passage_quality.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
