@@ -14,6 +14,7 @@ With slices that cover the sketch and radius = max_distance // tables, the searc
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -128,15 +129,21 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 @dataclass(frozen=True)
 class Slice:
-    """A table: the bits from `first` on, `bits` of them (64 at most), compared at distance `radius`."""
+    """A table: `bits` bits (64 at most), the first of them number `first`, each `step` after the one before; compared at distance `radius`."""
 
     first: int
     bits: int
     radius: int
+    step: int = 1
 
     def codes(self, words: np.ndarray) -> np.ndarray:
         """words: (n, blocks64) uint64; the slice of each row. Bits are counted from the left and wrap at the end."""
         n = words.shape[1]
+        if self.step != 1:
+            out = np.zeros(len(words), np.uint64)
+            for at in (np.arange(self.bits) * self.step + self.first) % (64 * n):
+                out = out << np.uint64(1) | words[:, at // 64] >> np.uint64(63 - at % 64) & np.uint64(1)
+            return out
         i, off = divmod(self.first % (64 * n), 64)
         high = words[:, i] << np.uint64(off)
         if off:
@@ -260,16 +267,16 @@ def join_shard(words: np.ndarray, asks: np.ndarray, cut: Slice, max_distance: in
     return forest.parent
 
 
-def near_edges(nodes: DataFrame, tables: list[Slice], max_distance: int, blocks64: int, shard_rows: int = 4096, sample_rows: int = 65536, hot_factor: int = 16) -> DataFrame:
+def near_edges(nodes: DataFrame, tables: list[Slice], max_distance: int, blocks64: int, shard_rows: int = 4096, sample_rows: int = 1 << 20, hot_factor: int = 16) -> DataFrame:
     """(a, b): edges that connect exactly the classes of sketches that the tables find linked. nodes: (sketch), distinct.
 
-    sample_rows bounds the sample that the trees are built from. A shard of more than hot_factor times its share of rows is
-    dealt into blocks, and every pair of blocks is a task of its own: nothing is capped. Only such shards' counts reach the
-    driver, so there are at most len(tables) * leaves / hot_factor of them."""
+    The sample that the trees are built from has eight sketches for each leaf; sample_rows bounds it. A shard of more than
+    hot_factor * shard_rows rows is dealt into blocks, and every pair of blocks is a task of its own: nothing is capped, and no
+    task's rows grow with the input. Only such shards' counts reach the driver, one for so many rows."""
     spark = nodes.sparkSession
     n = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows))))
-    sample = nodes.select("sketch").orderBy(F.xxhash64("sketch"), "sketch").limit(min(sample_rows, max(2048, 64 << depth))).collect() if depth else []
+    sample = nodes.select("sketch").orderBy(F.xxhash64("sketch"), "sketch").limit(min(sample_rows, max(2048, 8 << depth))).collect() if depth else []
     words = np.frombuffer(b"".join(bytes(r[0]) for r in sample), ">u8").astype(np.uint64).reshape(-1, blocks64)
     trees = [build_tree(t.codes(words), depth) if len(words) else [] for t in tables]
 
@@ -289,7 +296,7 @@ def near_edges(nodes: DataFrame, tables: list[Slice], max_distance: int, blocks6
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(shard), pa.array(asking), batch.column(0).take(pa.array(rows))], ["t", "shard", "asks", "sketch"])
 
     dealt = nodes.select("sketch").mapInArrow(deal, "t int, shard int, asks boolean, sketch binary")
-    limit = hot_factor * max(shard_rows, n // (1 + min(len(t) for t in trees)))
+    limit = hot_factor * shard_rows
     blocks: list = []
     if n > limit:
         blocks = dealt.filter("not asks").groupBy("t", "shard").count().filter(F.col("count") > limit).collect()
@@ -335,22 +342,52 @@ def _named(nodes: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     return written(join_on(nodes, written(named, "named"), key, "left").select(key, F.coalesce("least", "first").alias("component")), "classes")
 
 
-#: Near-duplicates by sets of five-word shingles: 24 slices of 20 of 512 bits propose, exact similarities decide.
+#: Near-duplicates by sets of five-word shingles: slices of 512 bits propose, exact similarities decide.
 NEAR_WIDTH, NEAR_BLOCKS = 5, 8
-NEAR_TABLES = [Slice(i * 21, 20, 1) for i in range(24)]
+#: Measured on sketches of random pairs, for up to 10^10 rows.
+STRIDED = 0.65
 #: Standard errors that a proposed pair may be further apart than its similarity implies.
 NEAR_ERRORS = 6.0
 #: A larger proposed group is dealt into blocks of about so many sets, or bytes of text.
 BLOCK_SETS, BLOCK_BYTES = 512, 4 << 20
 
 
+def _bit_differs(similarity: float) -> float:
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
 def distance_for(similarity: float, bits: int, errors: float = 1.0) -> int:
     """Differing bits that stand for a Jaccard similarity: cosine 2s/(1+s) of equally long texts, its angle, and so many
     standard errors on top."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    p = _bit_differs(similarity)
     return int(bits * p + errors * np.sqrt(bits * p * (1 - p)))
 
 
+def found_share(tables: list[Slice], similarity: float) -> float:
+    """About the share of pairs of just this similarity that the tables propose. Strided tables share bits with those before them, and
+    find about STRIDED as much that is new as tables over bits of their own would."""
+    p = _bit_differs(similarity)
+    lost = 1.0
+    for t in tables:
+        found = sum(math.comb(t.bits, k) * p**k * (1 - p) ** (t.bits - k) for k in range(t.radius + 1))
+        lost *= 1 - found * (1 if t.step == 1 else STRIDED)
+    return 1 - lost
+
+
+def near_tables(n: int, similarity: float, bits: int = 64 * NEAR_BLOCKS, share: float = 0.988) -> list[Slice]:
+    """Tables for n sketches. A slice has as many bits as n has, 20 at least, so that a sketch meets about as many others by chance at
+    every size; there are as many slices as find `share` of the pairs of just this similarity. Slices of neighbouring bits come first,
+    then, from other bits of the sketch, strided ones."""
+    width = max(20, math.ceil(math.log2(max(n, 2))))
+    out: list[Slice] = []
+    per = max(1, bits // (width + 1))
+    while found_share(out, similarity) < share:
+        turn, k = divmod(len(out), per)
+        step = 1 if turn == 0 else 2 * turn + 1
+        out.append(Slice(k * (width + 1) if turn == 0 else k * (width + 1) * step + turn, width, 1, step))
+    return out
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, blocks64: int, seed: int = 42) -> DataFrame:
     """(row, id, text, rest, n_shingles, sketch, members) for every row: number and sketch of its distinct shingles, and a 128-bit
     digest of them. `row` is unique in the result as it is written; rest is a struct of the other columns."""
@@ -449,7 +486,8 @@ def _near(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tup
     found = written(shingle_sets(docs, id_col, text_col, NEAR_WIDTH, NEAR_BLOCKS), "sets")
     least = F.struct(F.col("id").isNull().alias("none"), "id", "row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
     nodes = written(found.groupBy("members").agg(F.min(least).alias("one"), F.min("sketch").alias("sketch")).select("members", F.col("one.id").alias("first"), "sketch", "one.row", "one.bytes"), "nodes")
-    proposed = near_edges(written(nodes.select("sketch").distinct(), "proposers"), NEAR_TABLES, distance_for(similarity, 64 * NEAR_BLOCKS, NEAR_ERRORS), NEAR_BLOCKS, shard_rows=16384)
+    proposers = written(nodes.select("sketch").distinct(), "proposers")
+    proposed = near_edges(proposers, near_tables(proposers.count(), similarity), distance_for(similarity, 64 * NEAR_BLOCKS, NEAR_ERRORS), NEAR_BLOCKS, shard_rows=16384)
     groups = connected_components(proposed).select(F.col("node").alias("sketch"), F.col("component").alias("group"))
     groups = written(join_on(nodes, groups, "sketch", "left").select("members", "row", "bytes", F.coalesce("group", "sketch").alias("group")), "groups")
     return found, nodes, exact_classes(groups, found, NEAR_WIDTH, similarity)

@@ -51,6 +51,37 @@ def test_pieces_do_not_change_the_sketch(monkeypatch):
     assert S.text_sketch(text, 3, 2) == whole
 
 
+def test_slices_are_bits_of_the_sketch():
+    words = np.random.default_rng(2).integers(0, 2**63, (20, 8), dtype=np.uint64)
+    for cut in (S.Slice(0, 20, 1), S.Slice(500, 20, 1), S.Slice(505, 27, 1, 3), S.Slice(13, 34, 1, 7)):
+        for row, code in zip(words, cut.codes(words), strict=True):
+            bits = "".join(f"{int(w):064b}" for w in row)
+            assert int(code) == int("".join(bits[(cut.first + i * cut.step) % 512] for i in range(cut.bits)), 2)
+
+
+def test_tables_grow_with_the_rows_and_keep_their_share():
+    for n in (1, 10**5, 10**7, 10**9):
+        tables = S.near_tables(n, 0.8)
+        assert S.found_share(tables, 0.8) >= 0.988 and all(2 ** t.bits >= n and t.radius == 1 for t in tables)
+        places = {tuple((t.first + i * t.step) % 512 for i in range(t.bits)) for t in tables}
+        assert len(places) == len(tables)
+    assert len(S.near_tables(10**5, 0.8)) == 24
+
+
+def test_strided_tables_propose_what_they_should():
+    """Pairs of sketches with independent differing bits: the share that some table brings together is the one that was counted on."""
+    rng = np.random.default_rng(6)
+    p = S._bit_differs(0.8)
+    a = rng.integers(0, 2, (3000, 512)).astype(np.uint8)
+    b = a ^ (rng.random(a.shape) < p)
+    words = [np.packbits(x, axis=1).view(">u8").astype(np.uint64) for x in (a, b)]
+    tables = S.near_tables(10**8, 0.8)
+    near = np.zeros(3000, bool)
+    for t in tables:
+        near |= np.bitwise_count(t.codes(words[0]) ^ t.codes(words[1])) <= 1
+    assert len(tables) > 80 and near.mean() > 0.98
+
+
 def test_classes_match_brute_force(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(120)]
