@@ -1,13 +1,10 @@
 """Queries over the smallest tables: those with SQL against it, the others against brute force."""
 
-import hashlib
 import zlib
 
 import numpy as np
 import pandas as pd
 
-import corpus_pipeline
-from gridspan.llm import simhash
 from gridspan.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_pseudonyms import P
@@ -74,33 +71,3 @@ def test_op9(spark, sf_dir):
     docs = documents(sf_dir)
     want = brute_store(list(zip(docs.doc_id.tolist(), docs.text, strict=True)))
     assert sorted(map(tuple, QUERIES["op9_token_store"](spark, sf_dir).collect()), key=lambda r: r[1]) == want
-
-
-def test_pipeline(spark, sf_dir):
-    """Each stage against a plain version on its own input."""
-    stages = dict(corpus_pipeline.STAGES)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    good = stages["quality"](spark, docs, sf_dir).cache()
-    scores = {r["doc_id"]: r["predicted"] for r in QUERIES["op10_passage_quality"](spark, sf_dir).collect()}
-    assert {r["doc_id"] for r in good.collect()} == {i for i, p in scores.items() if p}
-
-    one = stages["near_dedup"](spark, good, sf_dir).cache()
-    rows = good.toPandas()
-    shingles = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in rows.itertuples() for w in [r.text.lower().split()]}
-    kept = {r["doc_id"] for r in one.collect()}
-    ids = sorted(shingles)
-    sim = {(i, j): len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) for i in ids for j in ids if j < i}
-    for i in set(ids) - kept:
-        assert any(s >= 0.6 for (a, b), s in sim.items() if i in (a, b))
-    assert not any(s >= 0.9 for (a, b), s in sim.items() if a in kept and b in kept)
-
-    hidden = stages["pii"](spark, one, sf_dir).cache()
-    mixed = stages["mix"](spark, hidden, sf_dir).cache()
-    for df in (good, one, hidden, mixed):
-        assert df.columns == docs.columns
-    text = {r["doc_id"]: r["text"] for r in hidden.collect()}
-    assert {r["doc_id"]: r["text"] for r in mixed.collect()}.items() <= text.items()
-    out = stages["encode"](spark, mixed, sf_dir).collect()
-    assert len(out) == mixed.count()
-    assert all(r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest() for r in out)
-    assert simhash.NEAR_WIDTH == 5
