@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 BLANK = "[ \\t\\n\\r\\f]+"
 
@@ -18,12 +17,5 @@ def word_count(text: DataFrame, col: str = "text") -> DataFrame:
     return words(text, col).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-@udtf(returnType="pos int, word string")
-class Tokens:
-    """Lateral table function: the tokens of a text, with their places."""
-
-    def eval(self, text: str):
-        if text:
-            for i, w in enumerate(text.replace("\x0b", "\x00").translate({9: 32, 10: 32, 12: 32, 13: 32}).replace("\x00", "\x0b").split(" ")):
-                if w:
-                    yield i, w
+#: For SQL: a lateral table function with the tokens of a text and their places; every single blank ends a place.
+PLACED = r"lateral (select pos, word from (select posexplode(split({0}, '[ \\t\\n\\r\\f]')) as (pos, word)) where word <> '')"

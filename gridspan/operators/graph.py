@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import join_on
+
 
 def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
 
 
 def transition_matrix(edges: DataFrame) -> DataFrame:
-    """(src, dst, p): p = 1 / out-degree of src; duplicate edges count each."""
-    return edges.select("src", "dst", (F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("src"))).alias("p"))
+    """(src, dst, p): p = 1 / out-degree of src; duplicate edges count each. Degrees are partial sums joined back, and a join's hot
+    partition can be split, so a hub is no task of its own."""
+    return join_on(edges.select("src", "dst"), out_degree(edges), "src").select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("p"))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

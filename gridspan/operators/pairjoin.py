@@ -6,10 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.generators import draw
+from .keys import ranked
 
 Predicate = Callable[[DataFrame, DataFrame], Column]
 
@@ -46,10 +47,14 @@ def at_random(density: float, seed: str = "p", left: str = "id", right: str = "i
 
 def assign_blocks(rows: DataFrame, blocks: int, how: str = "contiguous", order: str = "id", seed: str = "b") -> DataFrame:
     """rows with `grp`: contiguous (equal runs, larger ones first), circular (rank mod blocks) or shuffled (runs of a hash order)."""
+    key = [F.md5(F.concat(F.lit(seed + "-"), F.col(order).cast("string")).cast("binary")), F.col(order)] if how == "shuffled" else [F.col(order)]
+    placed = ranked(rows, key, "grp")
     if how == "circular":
-        return rows.withColumn("grp", (F.row_number().over(Window.orderBy(order)) - 1) % blocks)
-    key = [F.col(order)] if how == "contiguous" else [F.md5(F.concat(F.lit(seed + "-"), F.col(order).cast("string")).cast("binary")), F.col(order)]
-    return rows.withColumn("grp", F.ntile(blocks).over(Window.orderBy(*key)) - 1)
+        return placed.withColumn("grp", F.pmod("grp", F.lit(blocks)))
+    low, extra = divmod(rows.count(), blocks)
+    long = F.lit(extra * (low + 1))
+    run = F.when(F.col("grp") < long, F.floor(F.col("grp") / (low + 1))).otherwise(extra + F.floor((F.col("grp") - long) / max(low, 1)))
+    return placed.withColumn("grp", run.cast("long"))
 
 
 def join_table(pairs: DataFrame, left: str = "l_id", right: str = "r_id") -> DataFrame:

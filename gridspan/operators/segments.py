@@ -13,7 +13,7 @@ def _binned(rows: DataFrame, width: int) -> DataFrame:
     return out.withColumns({"lo": F.greatest(F.col("off"), F.col("bin") * width), "hi": F.least(F.col("off") + F.col("len"), (F.col("bin") + 1) * width)})
 
 
-def islands(ranges: DataFrame, width: int = 1024) -> DataFrame:
+def islands(ranges: DataFrame, width: int) -> DataFrame:
     """(path, bin, s, e): the union of the ranges as disjoint stretches within each bin.
 
     A running maximum of ends marks where a stretch begins; the window sees one bin of one path at a time."""
@@ -24,11 +24,20 @@ def islands(ranges: DataFrame, width: int = 1024) -> DataFrame:
     return rows.groupBy("path", "bin", "k").agg(F.min("lo").alias("s"), F.max("hi").alias("e")).drop("k")
 
 
-def cover(targets: DataFrame, ranges: DataFrame, width: int = 1024) -> DataFrame:
-    """targets (id, path, off, len) with `remaining`: bytes that no range of the same path covers.
+def bin_width(targets: DataFrame, ranges: DataFrame, least: int = 1024) -> int:
+    """The mean length of all targets and ranges, `least` at least: laid into bins as wide, they make about three rows each, however
+    long the longest is."""
+    mean = targets.select("len").unionByName(ranges.select("len")).agg(F.avg("len")).first()[0]
+    return max(least, int(mean or 0))
+
+
+def cover(targets: DataFrame, ranges: DataFrame, width: int | None = None) -> DataFrame:
+    """targets (id, path, off, len) with `remaining`: bytes that no range of the same path covers. Bins are as wide as bin_width
+    says.
 
     Targets meet the disjoint stretches of the ranges' union by equality on (path, bin), so however densely ranges overlap, a
     target meets few rows, and the covered length is a plain sum with partial sums before the shuffle."""
+    width = width or bin_width(targets, ranges)
     t = _binned(targets.select("id", "path", "off", "len"), width).select("id", "path", "bin", "lo", "hi")
     met = t.join(islands(ranges, width), ["path", "bin"]).filter("s < hi and e > lo")
     covered = met.groupBy("id").agg(F.sum(F.least("hi", "e") - F.greatest("lo", "s")).alias("covered"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.keys import ranked
+
 
 def lru_hits(trace: DataFrame, capacity: int) -> DataFrame:
     """trace (worker, step, item) -> (worker, hits, reads): least-recently-used caches of `capacity` items of equal size.
@@ -34,7 +36,7 @@ def packed_schedule(pairs: DataFrame, row_side: int, col_side: int, workers: int
     """(l_id, r_id) pairs, ids from 0 -> (worker, step, item): pairs grouped into packs of row_side x col_side, packs dealt to
     workers in turn; a task reads its left item, then its right one."""
     pack = F.struct(F.floor(F.col("l_id") / row_side).alias("pr"), F.floor(F.col("r_id") / col_side).alias("pc"))
-    packs = pairs.select(pack.alias("pack")).distinct().withColumn("k", F.row_number().over(Window.orderBy("pack")) - 1)
+    packs = ranked(pairs.select(pack.alias("pack")).distinct(), [F.col("pack")], "k")
     tasks = pairs.withColumn("pack", pack).join(packs, "pack")
     order = Window.partitionBy(F.col("k") % workers).orderBy("k", "l_id", "r_id")
     tasks = tasks.select((F.col("k") % workers).cast("bigint").alias("worker"), (F.row_number().over(order) * 2).alias("at"), "l_id", "r_id")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keys import join_on
 from ..session import written
 
 
@@ -39,10 +40,16 @@ def gimv_bits(blocks: DataFrame, vec: DataFrame, width: int) -> DataFrame:
     """blocks (brow, bcol, bits binary), 0/1 matrices of width x width cells: cell (r, c) is bit c % 8 of byte (r * width + c) / 8.
     vec (b, i, v) -> (b, i, v), non-zero sums only.
 
-    Cells are opened where their bit is set, then summed like any other sparse matrix."""
-    cells = F.filter(F.sequence(F.lit(0), F.lit(width * width - 1)), lambda k: F.expr("0") != F.conv(F.hex(F.substr(F.col("bits"), (F.floor(k / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int").bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (k % width % 8 + 1).cast("int"))))
-    opened = blocks.select("brow", "bcol", F.explode(cells).alias("k")).select("brow", F.col("bcol").alias("b"), F.floor(F.col("k") / width).cast("int").alias("r"), (F.col("k") % width).cast("int").alias("i"))
-    return opened.join(vec, ["b", "i"]).groupBy(F.col("brow").alias("b"), F.col("r").alias("i")).agg(F.sum("v").alias("v")).filter("v <> 0")
+    The bytes are read as 32-bit words, one conversion each; cells are opened where their bit is set, then summed like any other
+    sparse matrix."""
+    words = -(-width * width // 32)
+    padded = F.concat("bits", F.unhex(F.lit("000000")))
+    word = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.conv(F.hex(F.substr(padded, w * 4 + 1, F.lit(4))), 16, 10).cast("bigint"))
+    opened = blocks.select("brow", "bcol", F.posexplode(word).alias("w", "word")).filter("word <> 0")
+    bit = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda k: F.getbit("word", F.lit(24) - F.floor(k / 8).cast("int") * 8 + k % 8) == 1)
+    cells = opened.select("brow", F.col("bcol").alias("b"), F.explode(F.transform(bit, lambda k: F.col("w") * 32 + k)).alias("k")).filter(F.col("k") < width * width)
+    cells = cells.select("brow", "b", F.floor(F.col("k") / width).cast("int").alias("r"), (F.col("k") % width).cast("int").alias("i"))
+    return cells.join(vec, ["b", "i"]).groupBy(F.col("brow").alias("b"), F.col("r").alias("i")).agg(F.sum("v").alias("v")).filter("v <> 0")
 
 
 def diag_scale(diag: DataFrame, vec: DataFrame) -> DataFrame:
@@ -50,15 +57,24 @@ def diag_scale(diag: DataFrame, vec: DataFrame) -> DataFrame:
     return diag.join(vec, "node").filter((F.col("v") != 0) & (F.col("d") != 0)).select("node", (F.col("v") * (F.lit(1.0) / F.col("d"))).alias("v"))
 
 
-def min_labels(edges: DataFrame, nodes: DataFrame, max_iterations: int = 100) -> DataFrame:
-    """(node, v): iterate the min product with include_self to its fixed point, on the symmetric graph: component labels."""
+def min_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, v): the least node that each node reaches over the symmetric graph: component labels, the fixed point of the min product.
+
+    A round is the min product over the matrix, then two shortcuts: a label takes what its holders have found, and every node takes
+    the label of its label. Labels only fall, and they travel along ever longer paths, so the rounds grow with the logarithm of
+    the diameter; they end when no label has moved, however many that takes. Ends of edges that are not among the nodes count as
+    nodes, too."""
     mat = written(edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1).alias("val")).unionByName(edges.select(F.col("dst").alias("row"), F.col("src").alias("col"), F.lit(1).alias("val"))).distinct(), "symmetric")
-    vec = nodes.select("node", F.col("node").alias("v"))
+    every = nodes.select("node").unionByName(mat.select(F.col("row").alias("node"))).distinct()
+    vec = written(every.select("node", F.col("node").alias("v")), "labels")
     total = None
-    for _ in range(max_iterations):
-        vec = written(gimv_min(mat, vec, include_self=True), "labels")
-        now = vec.agg(F.sum(F.col("v").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            break
-        total = now
-    return vec
+    while True:
+        found = gimv_min(mat, vec, include_self=True).withColumnRenamed("v", "m")
+        both = written(join_on(vec, found, "node"), "found")
+        hooks = both.groupBy(F.col("v").alias("node")).agg(F.min("m").alias("v"))
+        now = written(both.select("node", F.col("m").alias("v")).unionByName(hooks).groupBy("node").agg(F.min("v").alias("v")), "hooked")
+        labels = now.select(F.col("node").alias("v"), F.col("v").alias("up"))
+        vec = written(join_on(now, labels, "v", "left").select("node", F.coalesce("up", "v").alias("v")), "labels")
+        before, total = total, vec.agg(F.sum(F.col("v").cast("decimal(38,0)"))).first()[0]
+        if total == before:
+            return vec

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codec, sketch
-from .functions.words import Tokens, word_count
+from .functions.words import PLACED, word_count
 from .operators import blocks as B
 from .operators import dense, graph, pairjoin, segments
 from .plans import locality, pagerank, radius, semiring
@@ -170,9 +170,8 @@ def words_counted(spark, sf_dir):
 @query
 def udtf_tokens(spark, sf_dir):
     """Tokens with their places, by a lateral table function, over conversation turns."""
-    spark.udtf.register("gridspan_tokens", Tokens)
     table(spark, sf_dir, "conversations").createOrReplaceTempView("gridspan_conversations")
-    return spark.sql("select word, count(*) as n, sum(pos) as places from gridspan_conversations, lateral gridspan_tokens(text) group by word")
+    return spark.sql(f"select word, count(*) as n, sum(pos) as places from gridspan_conversations, {PLACED.format('text')} group by word")
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridspan.functions.codec import decode_planes, encode_planes
 from gridspan.functions.sketch import least_zero_pos
 from gridspan.operators import blocks as B
-from gridspan.operators import dense, pairjoin, segments
+from gridspan.operators import dense, keys, pairjoin, segments
 from gridspan.plans import locality, radius, semiring
 from gridspan.plans.pagerank import STRATEGIES, pagerank, rank_histogram
 from gridspan.sources import generators, manifest, text
@@ -173,6 +173,43 @@ def test_min_labels(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7}
 
 
+def test_min_labels_of_long_chains(spark):
+    """Five hundred hops, and a star: one label each, in a number of rounds that has no limit."""
+    e = spark.range(500).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.range(1, 300).select(F.lit(1000).cast("long").alias("src"), (F.col("id") + 1000).alias("dst")))
+    got = values(semiring.min_labels(e, spark.range(1300).withColumnRenamed("id", "node")), "node", "v")
+    assert all(got[i] == 0 for i in range(501)) and all(got[i] == i for i in range(501, 1000)) and all(got[i] == 1000 for i in range(1000, 1300))
+
+
+def test_bit_blocks_against_plain_sums(spark):
+    rng = random.Random(3)
+    for width in (4, 8, 12, 16):
+        size = -(-width * width // 8)
+        raw = [(b, b % 3, bytes(rng.randrange(256) for _ in range(size))) for b in range(9)]
+        vec = [(b, i, rng.randrange(-9, 10) * 1.0) for b in range(3) for i in range(width)]
+        got = {(r["b"], r["i"]): r["v"] for r in semiring.gimv_bits(spark.createDataFrame([(b, c, bytearray(x)) for b, c, x in raw], "brow long, bcol long, bits binary"), spark.createDataFrame(vec, "b long, i int, v double"), width).collect()}
+        value = {(b, i): v for b, i, v in vec}
+        want = {(b, r): sum(value[c, k] for k in range(width) if x[(r * width + k) // 8] >> (r * width + k) % 8 & 1) for b, c, x in raw for r in range(width)}
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_ranks_without_a_global_window(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(50), None if i % 9 == 0 else "x" * (i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a long, place string")
+    got = keys.ranked(df, [F.col("a"), F.col("id")], "rank", 7).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert sorted(r["rank"] for r in got) == list(range(400)) and keys.ranked(df.limit(0), [F.col("a")], "rank").collect() == []
+    for how, n in (("contiguous", 7), ("shuffled", 7), ("circular", 7), ("contiguous", 500)):
+        size = sorted(values(pairjoin.assign_blocks(df.select("id"), n, how).groupBy("grp").count(), "grp", "count").values())
+        assert sum(size) == 400 and size[-1] - size[0] <= 1
+
+
+def test_bins_follow_the_lengths(spark):
+    targets = spark.createDataFrame([(1, "p", 0, 10**12)], "id long, path string, off long, len long")
+    ranges = spark.createDataFrame([("p", 5 * 10**11, 10**11), ("p", 0, 7)], "path string, off long, len long")
+    assert values(segments.cover(targets, ranges), "id", "remaining") == {1: 9 * 10**11 - 7}
+
+
 def test_lru_against_a_simulation(spark):
     from collections import OrderedDict
 
