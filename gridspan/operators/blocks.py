@@ -63,6 +63,11 @@ def sub_grid(blocks: DataFrame, rows: int, cols: int) -> DataFrame:
 
 
 def by_grid(blocks: DataFrame, parts: int, col_blocks: int, column_major: bool = False) -> DataFrame:
-    """Deal blocks to partitions by their place in the grid."""
+    """Deal blocks to partitions by their place in the grid: block (brow, bcol) lies in partition place mod parts."""
     place = F.col("bcol") * col_blocks + F.col("brow") if column_major else F.col("brow") * col_blocks + F.col("bcol")
-    return blocks.repartition(parts, F.pmod(place, F.lit(parts)))
+    return blocks.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int"))
+
+
+def by_column(rows: DataFrame, parts: int, col: str = "col") -> DataFrame:
+    """Deal rows to partitions by their column: partition col mod parts."""
+    return rows.repartitionById(parts, F.pmod(F.col(col), F.lit(parts)).cast("int"))

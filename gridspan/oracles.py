@@ -134,6 +134,16 @@ ORACLES: dict[str, str] = {
     "vector_text_scan": "select p_partkey as node, p_retailprice as rank from part",
     "block_text_roundtrip": "select p_partkey as node, p_retailprice as v from part",
     "matrix_text_parse": "select (l_suppkey % 16)::int as row, (l_partkey % 16)::int as col, sum(l_quantity) as val from lineitem group by 1, 2",
+    "block_edge_scan": f"with {COO} select (row // 64)::int as brow, (col // 64)::int as bcol, count(*) as n, sum(row % 64)::bigint as rows, sum(col % 64)::bigint as cols, round(sum(val), 9) as total from coo group by 1, 2",
+    "state_text_scan": hops(2, 2) + """, past as (select node, 1 + sum(moved) as hops from (select node, 0 as moved from nodes union all select node, (status = 'i')::int from h1 union all select node, (status = 'i')::int from h2) t group by node)
+select 'state' as kind, status, count(*) as n, sum(node)::bigint as nodes, 0::bigint as others, sum(b0 + b1)::bigint as masks, sum(hops)::bigint as hops from h2 join past using (node) group by status
+union all select 'command', '', count(*), sum(node)::bigint, 0, 0, 0 from nodes
+union all select 'edge', '', count(*), sum(dst)::bigint, sum(src)::bigint, 0, 0 from edges""",
+    "state_block_scan": f"with {EDGES}, {fm(1)} select 's' as role, node, b0 as mask from h0",
+    "grid_partition": f"""with {COO}, b as (select (row % 8)::int as brow, (col % 8)::int as bcol, col from coo)
+select 'rows' as way, brow, bcol, ((brow * 8 + bcol) % 12)::int as part, count(*) as n from b group by 1, 2, 3, 4
+union all select 'columns', brow, bcol, ((bcol * 8 + brow) % 12)::int, count(*) from b group by 1, 2, 3, 4
+union all select 'column', brow, bcol, (col % 12)::int, count(*) from b group by 1, 2, 3, 4""",
     "sparse_matrix_gen": f"""with c as (select r as row, k as col from range(200) a(r), range(100) b(k) where {draw("'m-' || r || '-' || k")} < {int(0.02 * 2**32)})
 select row, col from c union all select r, {draw("'mr-' || r")} % 100 from range(200) a(r) where r not in (select row from c)""",
     "expand_adjacency": f"with {MAT} select src + n::bigint as src, dst + 2 * n::bigint as dst from edges, size",
@@ -221,6 +231,7 @@ select seg % 8 as grp, seg, partners from (select *, row_number() over (partitio
     "effective_diameter": CURVE + f""", x as (select hop, nh, lag(nh) over (order by hop) as prev, 0.9::double * (select nh from curve where hop = {HOPS}) as lim from curve)
 select round(coalesce((select hop - 1 + (lim - prev) / (nh - prev) from x where hop > 0 and nh >= lim order by hop limit 1), -1.0::double), 6) as diameter""",
     "average_diameter": CURVE + ", x as (select hop, nh - lag(nh) over (order by hop) as gain from curve) select round(sum(hop * gain) / sum(gain), 6) as diameter from x",
+    "node_radius_block": WALK_RADIUS + " select node, max_radius, eff_radius from radius",
     "nh_curve_converged": WALK_CURVE + " select hop, round(nh, 6) as nh from curve",
     "status_counts_converged": WALK_CURVE + " select hop, converged, changed from curve",
     "node_radius_converged": WALK_RADIUS + " select node, max_radius, eff_radius from radius",

@@ -6,6 +6,8 @@ partial sums only. Catalyst joins by hash or merge as sizes allow; `secondary_so
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,32 +36,47 @@ def _damped(parts: DataFrame, own: DataFrame, keys: list[str], n: int, alpha: fl
 
 
 def _blocked(mat: DataFrame, nodes: DataFrame, n: int, alpha: float, layout: str, rows: int, cols: int, width: int, grid: tuple[int, int] | None):
-    """The matrix in blocks, and a step that joins vector block with matrix block, then in-block index with index."""
+    """The matrix in blocks, and a step that joins vector block with matrix block, then in-block index with index.
+
+    The matrix is kept partitioned by the keys of that join, so an iteration moves the vector and the partial sums alone. The modulo
+    layout has few rows of blocks: each gets its copy of the vector, and a hub's entries lie in as many partitions."""
     coo = mat.select(F.col("dst").alias("row"), F.col("src").alias("col"), F.col("p").alias("val"))
     if layout == "range":
         blocks = B.range_matrix(coo, width)
         block, index = (lambda c: B.range_block(c, width)), (lambda c: B.range_index(c, width))
         node = F.col("brow").cast("bigint") * width + F.col("r")
         own = nodes.select(block(F.col("node")).alias("brow"), index(F.col("node")).alias("r"))
+        keys = ["bcol", "c"]
     else:
         blocks = B.mod_matrix(coo, rows, cols)
         block, index = (lambda c: B.mod_block(c, cols)), (lambda c: B.mod_index(c, cols))
         node = F.col("r").cast("bigint") * rows + F.col("brow")
         own = nodes.select(B.mod_block(F.col("node"), rows).alias("brow"), B.mod_index(F.col("node"), rows).alias("r"))
+        keys = ["brow", "bcol", "c"]
     if grid:
         blocks = B.sub_grid(blocks, *grid)
-    blocks = blocks.select("brow", "bcol", "r", "c", "val").persist()
+    blocks = in_place(blocks.select("brow", "bcol", "r", "c", "val"), keys)
+    band = F.explode(F.sequence(F.lit(0), F.lit(min(rows, grid[0] if grid else rows) - 1)))
 
     def step(ranks: DataFrame) -> DataFrame:
         vec = ranks.select(block(F.col("node")).alias("bcol"), index(F.col("node")).alias("c"), "rank")
-        parts = blocks.join(vec, ["bcol", "c"]).select("brow", "r", (F.col("val") * F.col("rank")).alias("s"))
+        if "brow" in keys:
+            vec = vec.withColumn("brow", band)
+        parts = blocks.join(vec, keys).select("brow", "r", (F.col("val") * F.col("rank")).alias("s"))
         return _damped(parts, own, ["brow", "r"], n, alpha).select(node.alias("node"), "rank")
 
     return blocks, step
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.15, tol: float = 1e-6, max_iterations: int = 100, strategy: str = "naive", fixed_iterations: int | None = None, row_blocks: int = 4, col_blocks: int = 4, width: int = 16, grid: tuple[int, int] | None = None, cut_every: int = 10, resume: DataFrame | None = None) -> DataFrame:
-    """(node, rank). With fixed_iterations nothing runs until the result is used; else iterate until no rank moves by more than tol.
+def in_place(mat: DataFrame, keys: list[str]) -> DataFrame:
+    """mat kept by the executors, partitioned by the keys it will be joined on. A lost part is made again from its lineage."""
+    return mat.repartition(int(mat.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).persist()
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.15, tol: float = 1e-6, max_iterations: int = 100, strategy: str = "naive", fixed_iterations: int | None = None, row_blocks: int = 4, col_blocks: int = 4, width: int = 16, grid: tuple[int, int] | None = None, cut_every: int = 10, resume: DataFrame | None = None, report: dict | None = None) -> DataFrame:
+    """(node, rank). With fixed_iterations nothing runs until the result is used, and the matrix stays with the executors until the
+    session's cache is cleared; else iterate until no rank moves by more than tol. max_iterations ends a run that does not get
+    there, with a warning; report, if given, gets the number of iterations, the last move and whether it converged.
 
     grid: use only the first rows x cols of the block grid. resume: start from these ranks. Lineage is cut by a written table
     every cut_every iterations, and in every one of the convergence mode, whose test reads it."""
@@ -68,7 +85,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.15, tol: float
     n = nodes.count()
     mat = transition_matrix(edges)
     if strategy in ("naive", "secondary_sort"):
-        kept = mat.persist()
+        kept = in_place(mat, ["src"])
         hint = "merge" if strategy == "secondary_sort" else None
 
         def step(ranks: DataFrame) -> DataFrame:
@@ -85,13 +102,15 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.15, tol: float
             if (i + 1) % cut_every == 0 and i + 1 < fixed_iterations:
                 ranks = written(ranks, "ranks")
         return ranks
-    for _ in range(max_iterations):
+    moved, i = float("inf"), 0
+    while moved > tol and i < max_iterations:
         after = written(step(ranks), "ranks")
-        moved = max_change(ranks, after)
-        ranks = after
-        if moved <= tol:
-            break
+        moved, ranks, i = max_change(ranks, after), after, i + 1
     kept.unpersist()
+    if report is not None:
+        report |= {"iterations": i, "moved": moved, "converged": moved <= tol}
+    if moved > tol:
+        warnings.warn(f"pagerank: no convergence in {i} iterations, the last moved a rank by {moved}", stacklevel=2)
     return ranks
 
 
@@ -108,6 +127,7 @@ def rank_min_max(ranks: DataFrame) -> DataFrame:
 def rank_histogram(ranks: DataFrame, bins: int = 1000) -> DataFrame:
     """(bin, n): equal widths between the least and the largest rank; the top edge belongs to the last bin, and equal ranks
     are all in bin 1."""
+    ranks = written(ranks, "ranks")
     ends = rank_min_max(ranks)
     gap = F.col("max_rank") - F.col("min_rank")
     place = F.when(gap > 0, F.least(F.floor(bins * (F.col("rank") - F.col("min_rank")) / gap) + 1, F.lit(bins))).otherwise(F.lit(1))

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sketch import fm_estimate, fm_mask
+from ..operators.blocks import range_block, range_index, range_matrix
 from ..operators.graph import symmetric
 from ..session import written
+from .pagerank import in_place
 from .semiring import gimv_or
 
 
@@ -29,7 +31,21 @@ def hop(edges: DataFrame, state: DataFrame, k: int) -> DataFrame:
     """State after one more hop over edges (src, dst), distinct."""
     masks = names(k)
     mat = edges.select(F.col("src").alias("row"), F.col("dst").alias("col"))
-    grown = gimv_or(mat, state.select("node", *masks), masks)
+    return _settled(gimv_or(mat, state.select("node", *masks), masks), state, masks)
+
+
+def hop_blocks(blocks: DataFrame, state: DataFrame, k: int, width: int) -> DataFrame:
+    """State after one more hop over matrix blocks (brow, bcol, r, c) of `width` nodes a side: a vector block meets the matrix blocks of
+    its column, an in-block index its entries; blocks without a vector block take no part. Masks are ORed by block row and index."""
+    masks = names(k)
+    vec = state.select(range_block(F.col("node"), width).alias("bcol"), range_index(F.col("node"), width).alias("c"), *masks)
+    moved = blocks.join(vec, ["bcol", "c"]).select("brow", "r", *masks)
+    own = vec.select(F.col("bcol").alias("brow"), F.col("c").alias("r"), *masks)
+    grown = moved.unionByName(own).groupBy("brow", "r").agg(*[F.bit_or(m).alias(m) for m in masks])
+    return _settled(grown.select((F.col("brow").cast("bigint") * width + F.col("r")).alias("node"), *masks), state, masks)
+
+
+def _settled(grown: DataFrame, state: DataFrame, masks: list[str]) -> DataFrame:
     old = state.select("node", F.col("status").alias("was"), *[F.col(m).alias(f"o{m}") for m in masks])
     changed = F.lit(False)
     for m in masks:
@@ -51,11 +67,15 @@ class Radii:
     hops: int
 
 
-def radii(edges: DataFrame, nodes: DataFrame, k: int = 32, max_hops: int | None = None, make_symmetric: bool = False, resume: tuple[DataFrame, int] | None = None) -> Radii:
-    """Hops until nothing changes, or max_hops if given. Each hop's state is a written table, which also is where a later run can resume
-    (state, hop)."""
+def radii(edges: DataFrame, nodes: DataFrame, k: int = 32, max_hops: int | None = None, make_symmetric: bool = False, resume: tuple[DataFrame, int] | None = None, width: int | None = None) -> Radii:
+    """Hops until nothing changes, or max_hops if given; with width, over blocks of so many nodes a side. Each hop's state is a written
+    table, which also is where a later run can resume (state, hop). The edges stay in place, partitioned as the hop joins them."""
     masks = names(k)
     edges = written((symmetric(edges) if make_symmetric else edges.select("src", "dst")).distinct(), "edges")
+    if width is None:
+        kept = in_place(edges, ["dst"])
+    else:
+        kept = in_place(range_matrix(edges.select(F.col("src").alias("row"), F.col("dst").alias("col")), width).select("brow", "bcol", "r", "c"), ["bcol", "c"])
     state, first = resume if resume else (written(init_state(nodes, k), "state0"), 0)
     spark = nodes.sparkSession
     history = nodes.select("node", F.lit(0).alias("hop"), F.lit(1.0).alias("nh"))
@@ -63,7 +83,7 @@ def radii(edges: DataFrame, nodes: DataFrame, k: int = 32, max_hops: int | None
     h = first
     while max_hops is None or h < max_hops:
         h += 1
-        after = written(hop(edges, state, k), f"state{h}")
+        after = written(hop(kept, state, k) if width is None else hop_blocks(kept, state, k, width), f"state{h}")
         moved = after.filter("status = 'i'").select("node").join(state, "node")
         history = history.unionByName(moved.select("node", F.lit(h).alias("hop"), fm_estimate([F.col(m) for m in masks]).alias("nh")))
         r = neighbourhood(after, k).first()
@@ -71,6 +91,7 @@ def radii(edges: DataFrame, nodes: DataFrame, k: int = 32, max_hops: int | None
         state = after
         if not r["changed"]:
             break
+    kept.unpersist()
     curve = spark.createDataFrame(rows, "hop int, nh double, converged bigint, changed bigint")
     return Radii(curve, history, state, h)
 

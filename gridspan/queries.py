@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -87,6 +88,51 @@ def matrix_text_parse(spark, sf_dir):
     return line.select("l_orderkey", F.explode(text.parse_matrix_block(F.col("t"))).alias("e")).groupBy(F.col("e.row").alias("row"), F.col("e.col").alias("col")).agg(F.sum("e.val").alias("val"))
 
 
+@query
+def block_edge_scan(spark, sf_dir):
+    """Lines `brow TAB bcol TAB col row val ..` of the matrix's range blocks, among them comments and lines of another form, scanned."""
+    blocks = B.packed(B.range_matrix(_matrix(spark, sf_dir), 64))
+    entry = F.array_join(F.transform("entries", lambda e: F.concat_ws(" ", e["col"].cast("string"), e["row"].cast("string"), e["val"].cast("string"))), " ")
+    line = F.concat_ws("\t", F.col("brow").cast("string"), F.col("bcol").cast("string"), entry)
+    lines = blocks.select(F.explode(F.array(line, F.concat(F.lit("# "), line), F.concat(line, F.lit("\tmore")))).alias("value"))
+    found = text.block_lines(lines).select("bcol", "brow", F.explode("entries").alias("e"))
+    return rounded(found.groupBy("brow", "bcol").agg(F.count(F.lit(1)).alias("n"), F.sum("e.row").alias("rows"), F.sum("e.col").alias("cols"), F.sum("e.val").alias("total")), "total", 9)
+
+
+@query
+def state_text_scan(spark, sf_dir):
+    """Edges, states after two hops with their history, and commands in one text, scanned as typed rows."""
+    e, nodes = _graph(spark, sf_dir)
+    found = radius.radii(e, nodes, k=2, max_hops=2)
+    past = found.history.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("hop", "nh"))).alias("past"))
+    states = found.state.join(past, "node").select(text.format_state(F.col("node"), F.col("status"), F.col("past"), F.array("b0", "b1")).alias("value"))
+    lines = states.unionByName(e.select(F.concat_ws("\t", F.col("src").cast("string"), F.col("dst").cast("string")).alias("value")))
+    lines = lines.unionByName(nodes.select(F.concat(F.col("node").cast("string"), F.lit("\tc")).alias("value"))).unionByName(nodes.select(F.concat(F.lit("#"), F.col("node").cast("string")).alias("value")))
+    rows = text.state_lines(lines, 2)
+    zero = F.lit(0).cast("bigint")
+    total = {"nodes": F.col("node"), "others": F.coalesce("other", zero), "masks": F.coalesce(F.aggregate("masks", zero, lambda a, m: a + m), zero), "hops": F.when(F.col("kind") == "state", F.size("history")).otherwise(zero)}
+    return rows.groupBy("kind", F.coalesce("status", F.lit("")).alias("status")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in total.items()])
+
+
+@query
+def state_block_scan(spark, sf_dir):
+    """Vector blocks of masks as `role row mask row mask ..` texts, parsed again."""
+    state = radius.init_state(part_nodes(spark, sf_dir), 1)
+    item = F.concat_ws(" ", B.range_index(F.col("node"), 32).cast("string"), F.lower(F.hex("b0")))
+    lines = state.groupBy(B.range_block(F.col("node"), 32).alias("b")).agg(F.concat(F.lit("s"), F.array_join(F.array_sort(F.collect_list(item)), " ")).alias("line"))
+    parsed = lines.select("b", text.parse_state_block(F.col("line")).alias("s")).select("b", "s.role", F.explode("s.items").alias("x"))
+    return parsed.select("role", (F.col("b").cast("bigint") * 32 + F.col("x.row")).alias("node"), F.conv("x.mask", 16, 10).cast("bigint").alias("mask"))
+
+
+@query
+def grid_partition(spark, sf_dir):
+    """Where the grid partitioners put the blocks of an 8 x 8 grid on 12 partitions, and the column partitioner the entries of each column."""
+    m = B.mod_matrix(_matrix(spark, sf_dir), 8, 8)
+    part = F.spark_partition_id().alias("part")
+    ways = {"rows": B.by_grid(m, 12, 8), "columns": B.by_grid(m, 12, 8, column_major=True), "column": B.by_column(m, 12)}
+    return functools.reduce(DataFrame.unionByName, [d.select(F.lit(w).alias("way"), "brow", "bcol", part).groupBy("way", "brow", "bcol", "part").agg(F.count(F.lit(1)).alias("n")) for w, d in ways.items()])
+
+
 @query
 def sparse_matrix_gen(spark, sf_dir):
     return generators.sparse_matrix(spark, 200, 100, 0.02)
@@ -568,6 +614,12 @@ def average_diameter(spark, sf_dir):
     return rounded(radius.average_diameter(_radii(spark, sf_dir).curve), "diameter", 6)
 
 
+@query
+def node_radius_block(spark, sf_dir):
+    """Radii over matrix blocks of 16 nodes a side, hopping until nothing changes."""
+    return radius.node_radius(radius.radii(*_graph(spark, sf_dir), k=K, width=16).history)
+
+
 # The same, hopping until nothing changes
 
 

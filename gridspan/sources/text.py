@@ -20,6 +20,47 @@ def vector_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return good.select(parts[0].cast("bigint").alias("node"), parts[1].cast("double").alias("rank"))
 
 
+def block_lines(lines: DataFrame, col: str = "value", values: bool = True) -> DataFrame:
+    """(brow, bcol, entries) from lines `brow TAB bcol TAB col row val ...`; comments and lines of another form are skipped."""
+    parts = F.split(F.col(col), "\t", -1)
+    good = lines.filter(~F.col(col).startswith("#") & (F.size(parts) == 3) & parts[0].rlike(r"\A\d+\z") & parts[1].rlike(r"\A\d+\z"))
+    return good.select(parts[0].cast("int").alias("brow"), parts[1].cast("int").alias("bcol"), parse_matrix_block(parts[2], values).alias("entries"))
+
+
+def state_lines(lines: DataFrame, masks: int, col: str = "value") -> DataFrame:
+    """Mixed lines of a radius run as typed rows (kind, node, other, status, history, masks):
+
+    `node TAB bs<status><r>[:hop:nh]* m m ...` is a node's `state`: its status, the estimates of its hops, its masks in hexadecimal;
+    `node TAB c` is a `command` to make the node's masks; any other line of two columns or more is an `edge`, read inverted, so that
+    node is its end and other its start. Comments and lines of one column are skipped; a state of another number of masks is
+    an error."""
+    parts = F.split(F.col(col), "\t", -1)
+    good = lines.filter(~F.col(col).startswith("#") & (F.size(parts) >= 2)).select(parts[0].alias("a"), parts[1].alias("b"))
+    kind = F.when(F.col("b").startswith("b"), "state").when(F.col("b").startswith("c"), "command").otherwise("edge")
+    words = _numbers(F.col("b"))
+    marks = F.split(F.get(words, F.lit(0)), ":", -1)
+    hops = (F.size(marks) / 2).cast("int")
+    history = F.when(hops > 0, F.transform(F.sequence(F.lit(1), hops), lambda i: F.struct(F.get(marks, i * 2 - 1).cast("int").alias("hop"), F.get(marks, i * 2).cast("double").alias("nh")))).otherwise(F.from_json(F.lit("[]"), "array<struct<hop:int,nh:double>>"))
+    found = F.transform(F.slice(words, F.lit(2), F.size(words)), lambda m: F.conv(m, 16, 10).cast("bigint"))
+    checked = F.when(F.size(found) == masks, found).otherwise(F.raise_error(F.concat(F.lit("masks of node "), F.col("a"))))
+    state, edge = kind == "state", kind == "edge"
+    return good.select(
+        kind.alias("kind"),
+        F.when(edge, F.col("b")).otherwise(F.col("a")).cast("bigint").alias("node"),
+        F.when(edge, F.col("a")).cast("bigint").alias("other"),
+        F.when(state, F.substr(F.col("b"), F.lit(3), F.lit(1))).alias("status"),
+        F.when(state, history).alias("history"),
+        F.when(state, checked).alias("masks"),
+    )
+
+
+def format_state(node: Column, status: Column, history: Column, masks: Column) -> Column:
+    """A state line; history is an array of (hop, nh), masks an array of numbers."""
+    past = F.array_join(F.transform(history, lambda h: F.concat(F.lit(":"), h["hop"].cast("string"), F.lit(":"), h["nh"].cast("string"))), "")
+    radius = F.coalesce(F.try_element_at(history, F.lit(-1))["hop"], F.lit(0)).cast("string")
+    return F.concat(node.cast("string"), F.lit("\tbs"), status, radius, past, F.lit(" "), F.array_join(F.transform(masks, lambda m: F.lower(F.hex(m))), " "))
+
+
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return edge_lines(spark.read.text(path))
 

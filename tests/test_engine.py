@@ -289,9 +289,70 @@ def test_streams(spark, tmp_path):
     assert values(spark.table("gridspan_words"), "word", "n") == {"a": 2, "b": 2, "c": 1}
 
 
-def test_iterations_shuffle_the_vector_and_sums_only(graph):
-    plan = pagerank(*graph, fixed_iterations=1)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+@pytest.mark.parametrize(("strategy", "moved"), [("naive", 2), ("secondary_sort", 2), ("range_block", 2), ("mod_block", 2), ("rect_block", 2)])
+def test_iterations_shuffle_the_vector_and_sums_only(spark, strategy, moved):
+    """Above the matrix that is kept, an iteration has an exchange of the vector and one of the partial sums, and none of the matrix."""
+    e = spark.range(3000).select((F.col("id") % 500).alias("src"), (F.col("id") * 7 % 501).alias("dst"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = pagerank(e, spark.range(501).withColumnRenamed("id", "node"), fixed_iterations=1, strategy=strategy)
+        two = pagerank(e, spark.range(501).withColumnRenamed("id", "node"), fixed_iterations=2, strategy=strategy, resume=one)
+        one.collect(), two.collect()
+        plans = [d._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0] for d in (one, two)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.catalog.clearCache()
+    for plan in plans:
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    above = [exchanges_above_cache(d) for d in (one, two)]
+    assert above[0] == moved
+
+
+def exchanges_above_cache(df):
+    """Exchanges of the executed plan, without those that made the kept tables."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    n, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "InMemoryTableScanExec":
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        n += name == "ShuffleExchangeExec"
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return n
+
+
+def test_a_run_that_does_not_converge_says_so(graph):
+    report = {}
+    with pytest.warns(UserWarning, match="no convergence in 2 iterations"):
+        pagerank(*graph, tol=1e-12, max_iterations=2, report=report)
+    assert report["iterations"] == 2 and not report["converged"] and report["moved"] > 1e-12
+    pagerank(*graph, tol=1e-6, report=report)
+    assert report["converged"] and report["moved"] <= 1e-6
+
+
+def test_block_radii_agree_with_plain_ones(spark):
+    rng = random.Random(6)
+    e = spark.createDataFrame(sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(90)}), "src long, dst long")
+    nodes = spark.range(60).withColumnRenamed("id", "node")
+    plain, blocks = (radius.radii(e, nodes, k=4, width=w) for w in (None, 7))
+    for a, b in zip(plain.curve.orderBy("hop").collect(), blocks.curve.orderBy("hop").collect(), strict=True):
+        assert tuple(a) == pytest.approx(tuple(b))
+    assert sorted(map(tuple, plain.history.collect())) == sorted(map(tuple, blocks.history.collect()))
+
+
+def test_state_lines(spark):
+    lines = spark.createDataFrame([("# x\ty",), ("7\tbsi2:0:1.0:2:3.5 80000000 1f",), ("7\tbsc0 0 ff",), ("8\tc",), ("3\t4",), ("5",)], "value string")
+    got = [tuple(r) for r in text.state_lines(lines, 2).collect()]
+    assert got[0] == ("state", 7, None, "i", [(0, 1.0), (2, 3.5)], [0x80000000, 0x1F])
+    assert got[1:] == [("state", 7, None, "c", [], [0, 255]), ("command", 8, None, None, None, None), ("edge", 4, 3, None, None, None)]
+    with pytest.raises(Exception, match="masks of node 9"):
+        text.state_lines(spark.createDataFrame([("9\tbsi0 1",)], "value string"), 2).collect()
 
 
 def test_radii_hop_until_nothing_changes(spark):
