@@ -76,3 +76,12 @@ def partner_overlap(partners: DataFrame) -> DataFrame:
     both = x.join(y, (F.col("x.partner") == F.col("y.partner")) & (F.col("x.seg") < F.col("y.seg")))
     counted = both.groupBy(F.col("x.seg").alias("a"), F.col("y.seg").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("x.size", "y.size")).alias("larger"))
     return counted.select("a", "b", "shared", (F.col("shared") / F.col("larger")).alias("ratio"))
+
+
+def partner_groups(partners: DataFrame, ratio: float = 0.8) -> DataFrame:
+    """(seg, grp): entries grouped where their partner sets overlap by more than `ratio` of the larger one; grp is the least entry of a
+    group. Overlaps chain, so the groups do not depend on an order."""
+    from ..plans.semiring import min_labels
+
+    near = partner_overlap(partners).filter(F.col("ratio") > ratio).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return min_labels(near, partners.select(F.col("seg").alias("node")).distinct()).select(F.col("node").alias("seg"), F.col("v").alias("grp"))

@@ -49,6 +49,41 @@ def cover_sorted(targets: DataFrame, ranges: DataFrame) -> DataFrame:
     return cover(targets, ranges).orderBy("remaining", "path", "off", "len")
 
 
+def cover_lists(targets: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(path, covered) for each path of either: the targets with their remaining bytes, least first. A path without targets has null, one
+    without ranges an empty list."""
+    item = F.struct("remaining", "off", "len", "id")
+    lists = cover(targets, ranges).groupBy("path").agg(F.array_sort(F.collect_list(item)).alias("covered"))
+    there = ranges.select("path").distinct().withColumn("any", F.lit(True))
+    both = lists.join(there, "path", "full_outer")
+    return both.select("path", F.when(F.col("covered").isNotNull() & F.col("any").isNull(), F.slice("covered", 1, 0)).otherwise(F.col("covered")).alias("covered"))
+
+
+def lookup(segments: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (id, path, off, len) with `place`: how many segments of their path come before them by (off, len), the place that a search in
+    the sorted list finds; and `found`: whether one is equal. Segments and probes are merged in order, bin by bin, and counts of the
+    bins before are added, so no window sees a whole path."""
+    seg = segments.select("path", "off", "len", F.lit(None).cast("bigint").alias("id"))
+    ask = probes.select("path", "off", "len", F.col("id").cast("bigint").alias("id"))
+    width = bin_width(probes, segments)
+    both = seg.unionByName(ask).withColumn("bin", F.floor(F.col("off") / width))
+    one = F.col("id").isNull().cast("bigint")
+    bins = both.groupBy("path", "bin").agg(F.sum(one).alias("n"))
+    before = bins.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = Window.partitionBy("path", "bin").orderBy("off", "len")
+    same = Window.partitionBy("path", "bin", "off", "len")
+    placed = both.withColumns({"upto": F.sum(one).over(at.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "here": F.sum(one).over(same)})
+    placed = placed.filter("id is not null").join(before.select("path", "bin", "base"), ["path", "bin"])
+    return placed.select("id", "path", "off", "len", (F.col("base") + F.col("upto") - F.col("here")).cast("bigint").alias("place"), (F.col("here") > 0).alias("found"))
+
+
+def host_lookup(segments: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """segments (id, path, off, len), blocks (path, block, host) -> (id, host), distinct: the hosts of the blocks that hold a segment's first
+    byte or its end; blocks between the two are not asked."""
+    ends = F.array_distinct(F.array(F.floor(F.col("off") / size), F.floor((F.col("off") + F.col("len")) / size)))
+    return segments.select("id", "path", F.explode(ends).alias("block")).join(blocks, ["path", "block"]).select("id", "host").distinct()
+
+
 def cover_hull(segments: DataFrame, block: int) -> DataFrame:
     """(..., cover_off, cover_len): from the start of the block that holds the first byte to the end of the one that holds the end.
 

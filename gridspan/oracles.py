@@ -113,16 +113,33 @@ def blocks(brow: str, bcol: str, r: str, c: str) -> str:
     return f"with {COO} select ({brow})::int as brow, ({bcol})::int as bcol, count(*) as n, sum({r})::bigint as sum_r, sum({c})::bigint as sum_c from coo group by 1, 2"
 
 
-def lru(side: int, capacity: int) -> str:
-    return f"""with p as (select a.n_nationkey as l, b.n_nationkey as r from nation a join nation b on a.n_nationkey <= b.n_nationkey),
-q as (select l, r, l // {side} as pr, r // {side} as pc from p),
-k as (select pr, pc, row_number() over (order by pr, pc) - 1 as k from (select distinct pr, pc from q) t),
-task as (select k % 3 as worker, row_number() over (partition by k % 3 order by k, l, r) * 2 as pos, l, r from q join k using (pr, pc)),
-trace as (select worker, pos - 1 as step, 'l' || l as item from task union all select worker, pos, 'r' || r from task),
+NATION_PAIRS = "p as (select a.n_nationkey as l, b.n_nationkey as r from nation a join nation b on a.n_nationkey <= b.n_nationkey)"
+HOSTS = f"hosts as (select distinct n_nationkey as item, {draw("'h-' || n_nationkey || '-' || k")} % 3 as host from nation, range(2) t(k))"
+SCHEDULES = f"""drawn as (select l, r, {draw("'w-' || l || '-' || r")} % 3 as worker from p),
+votes as (select l, r, host, count(*) as n from (select l, r, l as item from p union all select l, r, r from p) t join hosts using (item) group by l, r, host),
+best as (select l, r, arg_min(host, (-n, host)) as worker from votes group by l, r)"""
+LRU = """trace as (select worker, pos - 1 as step, 'l' || l as item from task union all select worker, pos, 'r' || r from task),
 seen as (select worker, step, item, lag(step) over (partition by worker, item order by step) as prev from trace),
 depth as (select s.worker, s.step, (select count(distinct t.item) from trace t where t.worker = s.worker and t.step > s.prev and t.step < s.step) as between_n from seen s where s.prev is not null)
 select r.worker, coalesce(h.hits, 0)::bigint as hits, r.reads from (select worker, count(*) as reads from trace group by worker) r
-left join (select worker, count(*) as hits from depth where between_n < {capacity} group by worker) h on r.worker = h.worker"""
+left join (select worker, count(*) as hits from depth where between_n < 8 group by worker) h on r.worker = h.worker"""
+
+
+def packs(side: int) -> str:
+    return f"""q as (select l, r, l // {side} as pr, r // {side} as pc from p),
+k as (select pr, pc, row_number() over (order by pr, pc) - 1 as k from (select distinct pr, pc from q) t)"""
+
+
+def lru(side: int) -> str:
+    return f"with {NATION_PAIRS}, {packs(side)}, task as (select k % 3 as worker, row_number() over (partition by k % 3 order by k, l, r) * 2 as pos, l, r from q join k using (pr, pc)), {LRU}"
+
+
+def scheduled(by: str) -> str:
+    return f"with {NATION_PAIRS}, {HOSTS}, {SCHEDULES}, task as (select worker, row_number() over (partition by worker order by l, r) * 2 as pos, l, r from {by}), {LRU}"
+
+
+def indexed(tail: str) -> str:
+    return f"""select c_nationkey::varchar as index, count(*) as n, sum(strlen(c_name || {tail}))::bigint as bytes, sum({draw(f"c_name || {tail}")})::bigint as digests from customer group by 1"""
 
 
 R = ranks(ITERATIONS)
@@ -155,6 +172,22 @@ union all select 'B', i // 10, i % 10, 10, round((i // 10)::double, 6) from rang
     "split_generator": f"""with s as (select i, 128 - 12 + 2 * ({draw("'s-' || i")} % 12) as size from range(80) t(i)),
 o as (select i, size, coalesce(sum(size) over (order by i rows between unbounded preceding and 1 preceding), 0) as off from s)
 select '/data/input0' as path, off::bigint as off, (case when i = 79 then 10240 else least(off + size, 10240) end - off)::bigint as len from o where off < 10240""",
+    "indexed_text_roundtrip": indexed("chr(10)"),
+    "indexed_bytes_roundtrip": indexed("''"),
+    "indexed_source": indexed("chr(10)"),
+    "index_file_scan": "select 'nation' || c_nationkey as index, count(*) as n, sum(c_custkey * 10)::bigint as offs, sum(strlen(c_name))::bigint as bytes from customer group by 1",
+    "file_name_index": "select 4::bigint as files, 0::bigint as offs, sum(strlen(c_name) + 1)::bigint as bytes from customer",
+    "pair_plan": """with e as (select c_nationkey as k, c_nationkey::varchar as index, sum(strlen(c_name) + 1)::bigint as bytes, count(*) as n from customer group by 1, 2)
+select a.index as l_index, b.index as r_index, a.bytes as l_bytes, b.bytes as r_bytes, a.n + b.n as segments from e a join e b on a.index <= b.index and a.k % 5 = b.k % 5""",
+    "pair_index_strings": "select 'edge' || chr(9) || n_nationkey || chr(9) || n_regionkey as l_index, 'node' || chr(9) || n_regionkey as r_index from nation union all select 'edge' || chr(9) || 'x' || chr(9) || n_regionkey, 'node' || chr(9) || n_regionkey from nation where false",
+    "bandwidth_files": "select count(*) as segments, sum(strlen(c_name) + 1)::bigint as bytes, true as timed, true as rated from customer",
+    "bandwidth_pairs": "select distinct c_nationkey::varchar as index, true as read, true as timed from customer where c_nationkey in (0, 5)",
+    "plain_text_export": "select p_partkey as node, p_retailprice as v from part",
+    "binary_pairs_roundtrip": f"""with {COO} select 'vector' as kind, (p_partkey // 64)::int as b, count(*) as n, round(sum(p_retailprice), 6) as total from part group by 1, 2
+union all select 'matrix', (row // 256)::int, count(*), round(sum(val), 6) from coo group by 1, 2""",
+    "generated_by_name": f"""with s as (select i, 100 - 20 + 2 * ({draw("'s-' || i")} % 20) as size from range(50) t(i)),
+o as (select i, size, coalesce(sum(size) over (order by i rows between unbounded preceding and 1 preceding), 0) as off from s)
+select '/data/input1' as path, off::bigint as off, (case when i = 49 then 5000 else least(off + size, 5000) end - off)::bigint as len from o where off < 5000""",
     "index_manifest": """with o as (select c_nationkey::varchar as index, c_mktsegment as path, strlen(c_name) + 1 as len,
   coalesce(sum(strlen(c_name) + 1) over (partition by c_mktsegment order by c_custkey rows between unbounded preceding and 1 preceding), 0) as off from customer)
 select index, path, count(*) as n_segments, sum(len)::bigint as bytes, min(off)::bigint as first_off, max(off)::bigint as last_off from o group by index, path""",
@@ -194,6 +227,7 @@ select brow as b, r::int as i, round(sum(v), 4) as v from cell join vec using (b
     "diag_scale": "select p_partkey as node, round(p_retailprice * (1.0::double / (p_size - 1)), 8) as v from part where p_size <> 1 and p_retailprice <> 0",
     "matmul_blocks": MATMUL,
     "matmul_broadcast": MATMUL,
+    "matmul_folders": f"select i, j, count(*) as n, round(sum(v), 3) as total from ({MATMUL}) t group by i, j",
     "sliding_dot": """with e as (select event_id as pos, trunc(value)::int as val from events), n as (select count(*) as n from e), q as (select n_nationkey as pos, n_regionkey * 7 - 13 as val from nation),
 s as (select k as step, sum(q.val * x.val)::bigint as s from range((select ceil((n - 25) / 16.0)::bigint from n)) t(k), q, e x where x.pos = k * 16 + q.pos group by k)
 select step, ((((s + 128) % 256 + 256) % 256) - 128)::int as v from s""",
@@ -207,6 +241,11 @@ select step, ((((s + 128) % 256 + 256) % 256) - 128)::int as v from s""",
     "pair_random": entries("0") + PAIR_COUNT.format(on=f"{draw("'p-' || a.id || '-' || b.id")} < {int(0.2 * 2**32)}"),
     "join_table": PARTNERS + " select seg, count(*) as partners, sum(partner)::bigint as sum_partner from partners group by seg",
     "pair_task_count": PARTNERS + " select count(*) as n_tasks from pair",
+    "partner_groups": PARTNERS.replace("with ", "with recursive ", 1).replace(" as materialized", " as") + """, sz as (select seg, count(*) as size from partners group by seg),
+near as (select x.seg as a, y.seg as b from partners x join partners y on x.partner = y.partner and x.seg <> y.seg join sz sx on x.seg = sx.seg join sz sy on y.seg = sy.seg
+  group by 1, 2 having count(*) / max(greatest(sx.size, sy.size))::double > 0.3),
+reach as (select seg, seg as grp from sz union select n.b, r.grp from reach r join near n on r.seg = n.a where r.grp < n.b)
+select seg, min(grp) as grp from reach group by seg""",
     "partner_overlap": PARTNERS + """, sz as (select seg, count(*) as size from partners group by seg)
 select x.seg as a, y.seg as b, count(*) as shared, round(count(*) / max(greatest(sx.size, sy.size))::double, 9) as ratio
 from partners x join partners y on x.partner = y.partner and x.seg < y.seg join sz sx on x.seg = sx.seg join sz sy on y.seg = sy.seg group by 1, 2""",
@@ -218,8 +257,28 @@ select seg % 8 as grp, seg, partners from (select *, row_number() over (partitio
   (case when (off + len) % 64 = 0 and off + len > off // 64 * 64 then off + len else ((off + len) // 64 + 1) * 64 end - off // 64 * 64)::bigint as cover_len from s""",
     "segment_names": SEGS + " select id, '/d/' || path || '#EOP#' || off || '-' || len as name, '/d/' || path as path, off, len from s",
     "segment_order": SEGS + " select id, path, row_number() over (partition by path order by off, len, id) as place from s",
-    "locality_hit_rate": lru(4, 8),
-    "locality_hit_rate_unpacked": lru(1, 8),
+    "locality_hit_rate": lru(4),
+    "locality_hit_rate_unpacked": lru(1),
+    "locality_random": scheduled("drawn"),
+    "locality_first": scheduled("best"),
+    "local_read_rate": f"""with {NATION_PAIRS}, {HOSTS}, {SCHEDULES}, ways as (select 'random' as scheduler, * from drawn union all select 'local', * from best),
+items as (select scheduler, worker, l as item from ways union all select scheduler, worker, r from ways)
+select scheduler, count(*) as reads, count(host) as local from items left join hosts on hosts.item = items.item and host = worker group by scheduler""",
+    "task_metadata": f"""with {NATION_PAIRS}, {HOSTS}, {packs(4)}, t as (select k, l, r from q join k using (pr, pc)), items as (select k, l as item from t union select k, r from t)
+select k as task, k % 3 as worker, any_value(n) as pairs, count(distinct items.item) as items, count(distinct host) as n_hosts
+from items left join hosts using (item) join (select k, count(*) as n from t group by k) c using (k) group by k""",
+    "capacity_packs": f"""with {ENTRIES}, s as (select id, size, sum(size) over (order by id) - size as ahead, sum(size) over () // 4 // 2 as half from e), v as (select id, size, (ahead // half)::bigint as pack from s)
+select a.pack as pr, b.pack as pc, count(*) as n, sum(a.size + b.size)::bigint as bytes from v a join v b on a.id <= b.id group by 1, 2""",
+    "segment_lookup": SEGS + """, q as (select id, path, off, len + id % 2 as len from s)
+select q.id, q.path, (select count(*) from s where s.path = q.path and (s.off < q.off or (s.off = q.off and s.len < q.len)))::bigint as place, exists (select 1 from s where s.path = q.path and s.off = q.off and s.len = q.len) as found from q""",
+    "segment_cover_lists": COVER.replace("as off, (1 + o_orderkey * 13 % 97) * 5 as len from orders)", "as off, (1 + o_orderkey * 13 % 97) * 5 as len from orders where (o_custkey % 20) <> 3)").replace("1 + l_partkey * 17 % 97 as len from lineitem)", "1 + l_partkey * 17 % 97 as len from lineitem where l_partkey % 20 <> 4 and (l_partkey % 20 <> 3 or (l_orderkey * 104729 + l_linenumber * 1299709 + l_suppkey * 31) % 1000000 < 500000))")
+    + """, have as (select distinct path from r), every as (select path from have union select path from t)
+select path, case when count(cover.path) = 0 then -1 when not bool_or(path in (select path from have)) then 0 else count(*) end as n,
+case when count(cover.path) = 0 or not bool_or(path in (select path from have)) then -1 else min(remaining) end::bigint as least, count(cover.path) = 0 as none
+from every left join cover using (path) group by path""",
+    "segment_hosts": SEGS + """, b as (select p::varchar as path, k as block, (p * 7 + k * 3) % 11 as host from range(20) a(p), range(82) c(k)),
+e as (select distinct id, path, x as block from (select id, path, unnest([off // 64, (off + len) // 64]) as x from s) t)
+select host, count(*) as n, sum(id)::bigint as ids from (select distinct id, host from e join b using (path, block)) t group by host""",
     "scan_bytes": "select count(*) as n, sum(strlen(text))::bigint as bytes from documents",
     "fm_init": f"with {EDGES}, {fm(K)} select node, {', '.join(f'b{i}' for i in range(K))} from h0",
     "fm_hop1": hops(K, 1) + " select * from h1",

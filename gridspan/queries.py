@@ -13,10 +13,9 @@ from .functions.words import PLACED, word_count
 from .operators import blocks as B
 from .operators import dense, graph, pairjoin, segments
 from .plans import locality, pagerank, radius, semiring
-from .session import table
-from .sources import generators, text
+from .session import new_path, table
+from .sources import generators, manifest, sequence, text
 from .sources.graph import co_purchase, order_segments, part_nodes
-from .sources.manifest import text_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,10 +174,129 @@ def split_generator(spark, sf_dir):
 def index_manifest(spark, sf_dir):
     """Byte ranges of an indexed text file of customer names, filed under their nation, one file per segment."""
     c = table(spark, sf_dir, "customer")
-    rows = text_manifest(c, F.col("c_nationkey").cast("string"), F.col("c_name"), F.col("c_mktsegment"), [F.col("c_custkey")])
+    rows = manifest.text_manifest(c, F.col("c_nationkey").cast("string"), F.col("c_name"), F.col("c_mktsegment"), [F.col("c_custkey")])
     return rows.groupBy("index", "path").agg(F.count(F.lit(1)).alias("n_segments"), F.sum("len").alias("bytes"), F.min("off").alias("first_off"), F.max("off").alias("last_off"))
 
 
+def _indexed(spark, sf_dir, **options):
+    """Customer names filed under their nation: an indexed file of each of four partitions, in the shared folder."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("k"), F.col("c_name").alias("v"), "c_custkey")
+    path = new_path(spark, "indexed")
+    return path, manifest.write_indexed(c.repartition(4, "c_custkey"), "k", "v", path, **options)
+
+
+def _read_back(read: DataFrame) -> DataFrame:
+    """Segments and bytes of each index entry, and a sum over the digests of what was read."""
+    digest = F.conv(F.substr(F.md5("data"), F.lit(1), F.lit(8)), 16, 10).cast("bigint")
+    return read.groupBy("index").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("data")).alias("bytes"), F.sum(digest).alias("digests"))
+
+
+@query
+def indexed_text_roundtrip(spark, sf_dir):
+    """Names written with newlines into indexed files, and every segment read back by its byte range."""
+    return _read_back(manifest.read_segments(_indexed(spark, sf_dir)[1]))
+
+
+@query
+def indexed_bytes_roundtrip(spark, sf_dir):
+    """The same as raw bytes, each record packed by itself."""
+    return _read_back(manifest.read_segments(_indexed(spark, sf_dir, newline=False, codec="zstd")[1], codec="zstd"))
+
+
+@query
+def indexed_source(spark, sf_dir):
+    """The same files through the registered data source."""
+    path, _ = _indexed(spark, sf_dir)
+    spark.dataSource.register(manifest.IndexedSource)
+    return _read_back(spark.read.format("indexed").load(path).withColumnRenamed("value", "data"))
+
+
+@query
+def index_file_scan(spark, sf_dir):
+    """Binary index files, an entry for each nation with a byte range for each of its customers, scanned as a manifest. The files are made of
+    the fixed marks, a length byte and big-endian numbers."""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_custkey") * 10).alias("off"), F.octet_length("c_name").cast("bigint").alias("len"))
+    eight = lambda x: F.lpad(F.hex(x), 16, "0")
+    mark = lambda m: F.hex(F.lit(m).cast("binary"))
+    name = F.concat(F.lit("nation"), F.col("c_nationkey").cast("string"))
+    ranges = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "len"))), lambda s: F.concat(mark("#SEG#"), eight(s["off"]), eight(s["len"]))), "")
+    entry = c.groupBy("c_nationkey").agg(ranges.alias("ranges")).select(F.lit("/data/part.idx").alias("path"), F.unhex(F.concat(mark("#IDX#"), F.lpad(F.hex(F.octet_length(name)), 2, "0"), F.hex(name.cast("binary")), "ranges", mark("#IDX#"))).alias("content"))
+    found = manifest.scan_index_files(entry, ".idx").select("index", F.explode("segments").alias("s"))
+    return found.groupBy("index").agg(F.count(F.lit(1)).alias("n"), F.sum("s.off").alias("offs"), F.sum("s.len").alias("bytes"))
+
+
+@query
+def file_name_index(spark, sf_dir):
+    """Each file as one index entry with one segment, the whole file."""
+    path, _ = _indexed(spark, sf_dir)
+    return manifest.file_index(spark, path, "part-*").select("index", F.explode("segments").alias("s")).agg(F.count_distinct("index").alias("files"), F.sum("s.off").alias("offs"), F.sum("s.len").alias("bytes"))
+
+
+@query
+def pair_plan(spark, sf_dir):
+    """Pairs of nations' entries, planned from the manifest without reading data: one manifest with itself, each pair once."""
+    one = _indexed(spark, sf_dir)[1].groupBy("index").agg(F.flatten(F.collect_list("segments")).alias("segments"), F.min("path").alias("path"))
+    plan = manifest.plan_pairs(one, mode="half", on=lambda a, b: a["l_index"].cast("int") % 5 == b["r_index"].cast("int") % 5)
+    return plan.select("l_index", "r_index", "l_bytes", "r_bytes", (F.size("l_segments") + F.size("r_segments")).cast("bigint").alias("segments"))
+
+
+@query
+def pair_index_strings(spark, sf_dir):
+    """Index strings of matrix blocks meet those of vector blocks; malformed ones among them meet nothing."""
+    n = table(spark, sf_dir, "nation")
+    key, reg = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    forms = [F.concat_ws("\t", F.lit("edge"), key, reg), F.concat_ws("\t", F.lit("edge"), key), F.concat_ws("\t", F.lit("edge"), F.lit("x"), reg), F.concat_ws("\t", F.lit("other"), key, reg)]
+    left = n.select(F.explode(F.array(*forms)).alias("index"))
+    right = n.select(F.explode(F.array(F.concat_ws("\t", F.lit("node"), reg), F.concat_ws("\t", F.lit("node"), reg, F.lit("1")), F.lit("node\tx"))).alias("index")).distinct()
+    return pairjoin.pair_join(left, right, manifest.block_meets)
+
+
+@query
+def bandwidth_files(spark, sf_dir):
+    """Bytes read from every file, and whether each reader's time was taken; the bandwidth itself differs from run to run."""
+    found = manifest.bandwidth(manifest.read_segments(_indexed(spark, sf_dir)[1]))
+    return found.select("segments", "bytes", (F.col("ms") > 0).alias("timed"), (F.col("mb_per_s") > 0).alias("rated"))
+
+
+@query
+def bandwidth_pairs(spark, sf_dir):
+    """Two segments for each pair of entries of one nation residue, read and counted without any other output."""
+    one = _indexed(spark, sf_dir)[1]
+    plan = manifest.plan_pairs(one.filter("index = '0' or index = '5'"), mode="half")
+    sides = plan.select(F.explode(F.array(*[F.struct(F.col(f"{x}_index").alias("index"), F.col(f"{x}_path").alias("path"), F.col(f"{x}_segments").alias("segments")) for x in "lr"])).alias("x")).select("x.*")
+    return manifest.bandwidth(manifest.read_segments(sides), ["index"]).select("index", (F.col("bytes") > 0).alias("read"), (F.col("ms") > 0).alias("timed"))
+
+
+@query
+def plain_text_export(spark, sf_dir):
+    """Vector blocks unfolded to `node TAB value` lines, written as text, and the lines scanned again."""
+    path = new_path(spark, "plain")
+    text.plain_text(B.unfold(B.vector_blocks(_vector(spark, sf_dir), 16), 16), path)
+    parts = F.split("value", "\t", -1)
+    return spark.read.text(path).select(parts[0].cast("bigint").alias("node"), parts[1].cast("double").alias("v"))
+
+
+@query
+def binary_pairs_roundtrip(spark, sf_dir):
+    """Vector blocks and matrix blocks in one file of binary keys and values, told apart by the size of the key."""
+    vec = B.vector_blocks(_vector(spark, sf_dir), 64)
+    mat = B.packed(B.range_matrix(_matrix(spark, sf_dir), 256))
+    four = lambda c: F.lpad(F.hex(F.col(c).cast("bigint")), 8, "0")
+    pairs = vec.select(F.unhex(four("b")).alias("key"), codec.pack_vector(F.col("items")).alias("value")).unionByName(mat.select(F.unhex(F.concat(four("brow"), four("bcol"))).alias("key"), codec.pack_matrix(F.col("entries")).alias("value")))
+    path = new_path(spark, "pairs")
+    sequence.write_pairs(pairs, path)
+    back = sequence.read_pairs(spark, path)
+    v = sequence.vector_blocks(back).select(F.lit("vector").alias("kind"), "b", F.explode("items").alias("x")).groupBy("kind", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x.v"), 6).alias("total"))
+    m = sequence.matrix_blocks(back).select(F.lit("matrix").alias("kind"), F.col("brow").alias("b"), F.explode("entries").alias("x")).groupBy("kind", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x.val"), 6).alias("total"))
+    return v.unionByName(m)
+
+
+@query
+def generated_by_name(spark, sf_dir):
+    """A generator picked from the registry by its name."""
+    return generators.REGISTRY["splits"](spark, "/data/input1", 5000, 100, 0.2)
+
+
 # Projections, degrees, counts
 
 
@@ -382,6 +500,14 @@ def matmul_broadcast(spark, sf_dir):
     return _matmul(spark, sf_dir, "broadcast")
 
 
+@query
+def matmul_folders(spark, sf_dir):
+    """The products written in a folder for each pair of blocks, and read again."""
+    path = new_path(spark, "products")
+    dense.write_products(_matmul(spark, sf_dir, "pair"), path)
+    return spark.read.parquet(path).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total"))
+
+
 def _matmul(spark, sf_dir, strategy):
     """Vectors in blocks of 250 rows, times themselves."""
     e = table(spark, sf_dir, "embeddings")
@@ -485,6 +611,12 @@ def partner_overlap(spark, sf_dir):
     return rounded(pairjoin.partner_overlap(_partners(spark, sf_dir)), "ratio", 9)
 
 
+@query
+def partner_groups(spark, sf_dir):
+    """Entries grouped where their partner sets overlap by more than three tenths of the larger one."""
+    return pairjoin.partner_groups(_partners(spark, sf_dir), 0.3)
+
+
 @query
 def largest_group(spark, sf_dir):
     """The entry of each group with most partners, the first of equals."""
@@ -536,9 +668,36 @@ def segment_order(spark, sf_dir):
     return order_segments(spark, sf_dir).select("id", "path", F.row_number().over(w).cast("bigint").alias("place"))
 
 
+@query
+def segment_lookup(spark, sf_dir):
+    """Where each order's shifted segment would stand in its path's sorted list, and whether it is in it."""
+    segs = order_segments(spark, sf_dir)
+    probes = segs.withColumn("len", F.col("len") + F.col("id") % 2)
+    return segments.lookup(segs, probes).select("id", "path", "place", "found")
+
+
+@query
+def segment_cover_lists(spark, sf_dir):
+    """For every path, its targets by remaining length: null without targets, empty without ranges."""
+    targets = _targets(spark, sf_dir).filter("path <> '3'")
+    lists = segments.cover_lists(targets, _ranges(spark, sf_dir).filter("path not in ('3', '4') or off < 500000").filter("path <> '4'"))
+    first = F.try_element_at("covered", F.lit(1))
+    return lists.select("path", F.coalesce(F.size("covered"), F.lit(-1)).cast("bigint").alias("n"), F.coalesce(first["remaining"], F.lit(-1)).alias("least"), F.col("covered").isNull().alias("none"))
+
+
+@query
+def segment_hosts(spark, sf_dir):
+    """Hosts of the blocks that hold a segment's first byte or its end."""
+    blocks = spark.range(20).select(F.col("id").alias("p")).crossJoin(spark.range(82).select(F.col("id").alias("block"))).select(F.col("p").cast("string").alias("path"), "block", ((F.col("p") * 7 + F.col("block") * 3) % 11).alias("host"))
+    return segments.host_lookup(order_segments(spark, sf_dir), blocks, 64).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+def _nation_pairs(spark, sf_dir):
+    return pairjoin.pair_join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id")), mode="half")
+
+
 def _trace(spark, sf_dir, side: int):
-    v = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))
-    return locality.packed_schedule(pairjoin.pair_join(v, mode="half"), side, side, 3)
+    return locality.packed_schedule(_nation_pairs(spark, sf_dir), side, side, 3)
 
 
 @query
@@ -552,6 +711,49 @@ def locality_hit_rate_unpacked(spark, sf_dir):
     return locality.lru_hits(_trace(spark, sf_dir, 1), 8)
 
 
+def _hosts(spark, sf_dir):
+    return locality.replicas(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id")), 3, 2)
+
+
+@query
+def locality_random(spark, sf_dir):
+    """Hits of caches of 512 bytes, items of 64, when each pair runs on a worker drawn by hash."""
+    tasks = locality.scheduled(_nation_pairs(spark, sf_dir), 3, "random")
+    return locality.lru_hits(locality.reads(tasks).withColumn("size", F.lit(64)), 512)
+
+
+@query
+def locality_first(spark, sf_dir):
+    """The same when each pair runs where most of its items are, of two replicas each."""
+    tasks = locality.scheduled(_nation_pairs(spark, sf_dir), 3, "local", _hosts(spark, sf_dir))
+    return locality.lru_hits(locality.reads(tasks).withColumn("size", F.lit(64)), 512)
+
+
+@query
+def local_read_rate(spark, sf_dir):
+    """Reads, and those of items that the worker holds, under either scheduler."""
+    pairs, hosts = _nation_pairs(spark, sf_dir), _hosts(spark, sf_dir)
+    rates = [locality.local_reads(locality.scheduled(pairs, 3, how, hosts), hosts).withColumn("scheduler", F.lit(how)) for how in ("random", "local")]
+    return rates[0].unionByName(rates[1])
+
+
+@query
+def task_metadata(spark, sf_dir):
+    """What each pack of 4 x 4 pairs reads, and the hosts that hold any of it."""
+    tasks = locality.pack_tasks(_nation_pairs(spark, sf_dir), *locality.packs_by_side(4, 4), 3)
+    return locality.task_metadata(tasks, _hosts(spark, sf_dir)).select("task", "worker", "pairs", "items", F.size("hosts").cast("bigint").alias("n_hosts"))
+
+
+@query
+def capacity_packs(spark, sf_dir):
+    """Packs cut so that their rows and their columns fit half a cache each, over the pairs of the 200 entries."""
+    entries = _entries(spark, sf_dir).select("id", "size")
+    total = entries.agg(F.sum("size")).first()[0]
+    side = locality.packs_by_capacity(entries, total // 4)
+    pairs = pairjoin.pair_join(entries.join(side, "id"), mode="half")
+    return pairs.groupBy(F.col("l_pack").alias("pr"), F.col("r_pack").alias("pc")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_size") + F.col("r_size")).alias("bytes"))
+
+
 @query
 def scan_bytes(spark, sf_dir):
     """A full read: rows and bytes of the texts."""

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.pairjoin import pair_join
+
 MANIFEST = "index string, path string, segments array<struct<off:bigint,len:bigint>>"
 
 
@@ -23,30 +28,50 @@ def text_manifest(rows: DataFrame, index: Column, value: Column, file: Column, o
     return slim.select("index", "path", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("bigint").alias("off"), size.cast("bigint").alias("len"))
 
 
-def write_indexed(rows: DataFrame, index: str, value: str, path: str, newline: bool = True) -> DataFrame:
+def _codec(name: str | None) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
+    """(pack, unpack) of one record."""
+    if name is None:
+        return bytes, bytes
+    if name == "zlib":
+        return zlib.compress, zlib.decompress
+    if name == "zstd":
+        return zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor().decompress
+    raise ValueError(f"codec {name!r}")
+
+
+def write_indexed(rows: DataFrame, index: str, value: str, path: str, newline: bool = True, codec: str | None = None, flush: int = 65536) -> DataFrame:
     """Write the values of each partition into one file (text with newlines, or raw bytes) under `path`; the manifest
-    (index, path, segments) with every index entry's byte ranges, also kept as Parquet in path/_manifest."""
+    (index, path, segments) with every index entry's byte ranges, also kept as Parquet in path/_manifest. With a codec (zlib, zstd) every
+    record is packed by itself, so a byte range can still be read alone. Entries leave a task as they come, `flush` at a time."""
     slim = rows.select(F.col(index).cast("string").alias("index"), F.col(value).alias("value"))
     tail = b"\n" if newline else b""
+    _codec(codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, inner = pafs.FileSystem.from_uri(path)
         fs.create_dir(inner, recursive=True)
-        task = TaskContext.get()
-        name = f"{inner}/part-{task.partitionId():05d}"
-        own = f"{name}.{task.taskAttemptId()}"
+        task, pack = TaskContext.get(), _codec(codec)[0]
+        name = f"part-{task.partitionId():05d}"
+        own = f"{inner}/{name}.{task.taskAttemptId()}"
         entries, at = [], 0
+
+        def listed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in entries], pa.string()), pa.array([f"{path}/{name}"] * len(entries), pa.string()), pa.array([e[1] for e in entries], pa.int64()), pa.array([e[2] for e in entries], pa.int64())], ["index", "path", "off", "len"])
+
         with fs.open_output_stream(own) as out:
             for batch in batches:
                 for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if k is None and v is None:
                         continue
-                    data = (v.encode() if isinstance(v, str) else v or b"") + tail
+                    data = pack((v.encode() if isinstance(v, str) else v or b"") + tail)
                     out.write(data)
                     entries.append((k, at, len(data)))
                     at += len(data)
-        fs.move(own, name)
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in entries], pa.string()), pa.array([f"{path}/part-{task.partitionId():05d}"] * len(entries), pa.string()), pa.array([e[1] for e in entries], pa.int64()), pa.array([e[2] for e in entries], pa.int64())], ["index", "path", "off", "len"])
+                    if len(entries) >= flush:
+                        yield listed()
+                        entries.clear()
+        fs.move(own, f"{inner}/{name}")
+        yield listed()
 
     slim.mapInArrow(run, "index string, path string, off bigint, len bigint").write.parquet(f"{path}/_manifest")
     return read_manifest(rows.sparkSession, path)
@@ -64,21 +89,50 @@ def file_index(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("index"), "path", F.array(F.struct(F.lit(0).cast("bigint").alias("off"), F.col("length").alias("len"))).alias("segments"))
 
 
-def read_segments(manifest: DataFrame) -> DataFrame:
-    """(index, path, off, data): the bytes of every segment."""
+def read_segments(manifest: DataFrame, codec: str | None = None) -> DataFrame:
+    """(index, path, off, data, ms): the bytes of every segment, unpacked, and the time that reading it took. A batch is passed on for
+    each index entry, so memory holds one entry's segments."""
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _codec(codec)[1]
         for batch in batches:
-            out: list[list] = [[], [], [], []]
             for index, path, segments in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 fs, inner = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                out: list[list] = [[] for _ in kinds]
                 with fs.open_input_file(inner) as f:
                     for s in segments:
-                        for column, x in zip(out, (index, path, s["off"], f.read_at(s["len"], s["off"])), strict=True):
+                        began = time.perf_counter()
+                        data = f.read_at(s["len"], s["off"])
+                        took = 1000 * (time.perf_counter() - began)
+                        for column, x in zip(out, (index, path, s["off"], unpack(data), took), strict=True):
                             column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["index", "path", "off", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["index", "path", "off", "data", "ms"])
+
+    return manifest.select("index", "path", "segments").mapInArrow(run, "index string, path string, off bigint, data binary, ms double")
+
 
-    return manifest.select("index", "path", "segments").mapInArrow(run, "index string, path string, off bigint, data binary")
+def bandwidth(read: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, segments, bytes, ms, mb_per_s) of read_segments: sums over all readers, and the average bandwidth of one."""
+    sums = read.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("segments"), F.sum(F.octet_length("data")).alias("bytes"), F.sum("ms").alias("ms"))
+    return sums.withColumn("mb_per_s", F.try_divide(F.col("bytes") / 1e6, F.col("ms") / 1000))
+
+
+def plan_pairs(left: DataFrame, right: DataFrame | None = None, on: Callable[[DataFrame, DataFrame], Column] | None = None, mode: str = "bipartite") -> DataFrame:
+    """The pairs of index entries of two manifests that a predicate accepts, planned from the manifests alone, without reading data:
+    (l_index, l_path, l_segments, l_bytes, r_*), one row a task. `half`: pairs of one manifest, earlier index first."""
+    size = F.aggregate("segments", F.lit(0).cast("bigint"), lambda a, s: a + s["len"])
+    sized = [None if m is None else m.select("index", "path", "segments", size.alias("bytes")) for m in (left, right)]
+    return pair_join(sized[0], sized[1], on, mode, order="index")
+
+
+def block_meets(a: DataFrame, b: DataFrame) -> Column:
+    """A matrix block `edge TAB row TAB col` meets the vector block `node TAB col`. Index strings of another arity, of another first word, or
+    whose numbers cannot be read meet nothing."""
+    x, y = F.split(a["l_index"], "\t", -1), F.split(b["r_index"], "\t", -1)
+    col, block = F.try_element_at(x, F.lit(3)).try_cast("int"), F.try_element_at(y, F.lit(2)).try_cast("int")
+    whole = (F.size(x) == 3) & (x[0] == "edge") & (F.size(y) == 2) & (y[0] == "node") & F.try_element_at(x, F.lit(2)).try_cast("int").isNotNull()
+    return F.coalesce(whole & (col == block), F.lit(False))
 
 
 #: Fixed values of the binary index form: marks before an entry, after it, and before each of its byte ranges.
@@ -116,7 +170,11 @@ def parse_index(data: bytes) -> list[tuple[str, list[tuple[int, int]]]]:
 
 def read_index_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """(index, path, segments) from binary index files beside their data files, named by the suffix."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path).select("path", "content")
+    return scan_index_files(spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path), suffix)
+
+
+def scan_index_files(files: DataFrame, suffix: str) -> DataFrame:
+    """(index, path, segments) of binary index files (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +182,7 @@ def read_index_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
             kind = pa.list_(pa.struct([("off", pa.int64()), ("len", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], kind)], ["index", "path", "segments"])
 
-    return files.mapInArrow(run, MANIFEST)
+    return files.select("path", "content").mapInArrow(run, MANIFEST)
 
 
 class IndexedSource(DataSource):

@@ -3,11 +3,13 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridspan.functions import codec
 from gridspan.functions.codec import decode_planes, encode_planes
 from gridspan.functions.sketch import least_zero_pos
 from gridspan.operators import blocks as B
@@ -95,6 +97,48 @@ def test_plane_codec_round_trip(masks):
     assert decode_planes(encode_planes(masks), len(masks)) == masks
 
 
+def test_plane_codec_over_columns():
+    """Whole columns, null and empty lists among them, against the coding of one list at a time."""
+    rng = random.Random(1)
+    words = [0, 2**32 - 1, 0x80000000, 0xFFF00000]
+    lists = [None if rng.random() < 0.1 else [rng.choice([*words, rng.getrandbits(32)]) for _ in range(rng.choice([0, 1, 2, 8, 40]))] for _ in range(300)]
+    coded = codec.encode_masks.func(pa.array(lists, pa.list_(pa.int64())))
+    assert coded.to_pylist() == [None if m is None else encode_planes(m) if m else "" for m in lists]
+    assert codec.decode_masks.func(coded, pa.array([len(m or []) for m in lists], pa.int32())).to_pylist() == lists
+    assert codec.decode_masks.func(pa.array(["81"]), pa.array([2], pa.int32())).to_pylist() == [decode_planes("81", 2)]
+
+
+def test_records_over_columns():
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("v", pa.float64())]))
+    items = pa.array([None, [], [{"i": 1, "v": 0.5}, {"i": -3, "v": 2.0}]] * 3, kind)
+    for column in (items, items.slice(2, 4)):
+        raw = codec.pack_vector.func(column)
+        assert [None if b is None else len(b) for b in raw.to_pylist()] == [None if x is None else 12 * len(x) for x in column.to_pylist()]
+        assert codec.unpack_vector.func(raw).to_pylist() == column.to_pylist()
+
+
+def test_a_cache_in_bytes_and_schedulers(spark):
+    trace = spark.createDataFrame([(0, i, x, s) for i, (x, s) in enumerate([("a", 6), ("b", 4), ("a", 6), ("big", 11), ("c", 3), ("a", 6), ("b", 4)])], "worker long, step long, item string, size long")
+    assert values(locality.lru_hits(trace, 10), "worker", "hits") == {0: 2}
+    hosts = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "item long, host long")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 1), (8, 9)], "l_id long, r_id long")
+    tasks = {(r["l_id"], r["r_id"]): r["worker"] for r in locality.scheduled(pairs, 4, "local", hosts).collect()}
+    assert (tasks[1, 2], tasks[2, 3], tasks[1, 1]) == (0, 1, 0) and 0 <= tasks[8, 9] < 4
+    with pytest.raises(ValueError, match="other"):
+        locality.scheduled(pairs, 4, "other")
+
+
+def test_indexed_files_with_a_codec(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "one " * 100), ("b", None), ("a", "two")], "k string, v string").coalesce(1)
+    for name in ("zlib", "zstd"):
+        m = manifest.write_indexed(rows, "k", "v", f"file://{tmp_path}/{name}", codec=name, flush=2)
+        got = manifest.read_segments(m, name)
+        assert sorted((r["index"], bytes(r["data"])) for r in got.collect()) == [("a", b"one " * 100 + b"\n"), ("a", b"two\n"), ("b", b"\n")]
+        assert max(r["len"] for r in m.select(F.explode("segments").alias("s")).select("s.len").collect()) < 100
+    with pytest.raises(ValueError, match="codec"):
+        manifest.write_indexed(rows, "k", "v", f"file://{tmp_path}/no", codec="no")
+
+
 def test_pair_counts(spark):
     v = spark.range(9)
     assert pairjoin.pair_join(v, mode="half").count() == 45
@@ -266,7 +310,6 @@ def test_binary_index_files(spark, tmp_path):
 
 
 def test_binary_pairs_round_trip(spark, tmp_path):
-    from gridspan.functions import codec
     from gridspan.sources import sequence
 
     items = spark.createDataFrame([(bytes(4), [(1, 0.5)]), (b"\xff" * 4, [(2, 1.5), (3, 2.5)])], "key binary, items array<struct<i:int,v:double>>")
