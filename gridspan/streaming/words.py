@@ -1,4 +1,4 @@
-"""An extension, not an operator of the surveyed engine: word counts and rank steps over streams."""
+"""An extension, not an operator of the surveyed engine: word counts and window counts over streams."""
 
 from __future__ import annotations
 

@@ -332,6 +332,34 @@ def test_streams(spark, tmp_path):
     assert values(spark.table("gridspan_words"), "word", "n") == {"a": 2, "b": 2, "c": 1}
 
 
+def test_window_counts_over_a_stream(spark, tmp_path):
+    from gridspan.streaming.words import windowed_counts
+
+    rows = [(f"2024-01-01 00:0{m}:00", kind) for m, kind in ((1, "a"), (2, "a"), (2, "b"), (7, "a"))]
+    spark.createDataFrame(rows, "ts string, event_type string").select(F.col("ts").cast("timestamp"), "event_type").write.parquet(f"{tmp_path}/in")
+    stream = windowed_counts(spark.readStream.schema("ts timestamp, event_type string").parquet(f"{tmp_path}/in"))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("gridspan_windows").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["start"].minute, r["event_type"], r["n"]) for r in spark.table("gridspan_windows").collect()) == [(0, "a", 2), (0, "b", 1), (5, "a", 1)]
+
+
+def test_shared_folder_and_its_removal(spark, tmp_path):
+    from gridspan import session
+
+    df = session.written(spark.range(5), "five")
+    assert df.count() == 5 and session.run_dir(spark).startswith(session.shared_dir(spark))
+    named = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/other")
+    try:
+        path = session.new_path(spark, "x")
+        spark.range(3).write.parquet(path)
+        session.clean(spark)
+        assert not (tmp_path / "other" / "gridspan" / spark.sparkContext.applicationId).exists()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", named)
+
+
 @pytest.mark.parametrize(("strategy", "moved"), [("naive", 2), ("secondary_sort", 2), ("range_block", 2), ("mod_block", 2), ("rect_block", 2)])
 def test_iterations_shuffle_the_vector_and_sums_only(spark, strategy, moved):
     """Above the matrix that is kept, an iteration has an exchange of the vector and one of the partial sums, and none of the matrix."""
