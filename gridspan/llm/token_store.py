@@ -46,7 +46,7 @@ class WordTokenizer(Remembered):
     and never lets a pre-token hold white space: the pieces between white space are encoded one by one and remembered, as bytes.
     keep: bytes of memory for them."""
 
-    def __init__(self, model: str, keep: int = 256 << 20):
+    def __init__(self, model: str, keep: int = 128 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__(keep)
