@@ -57,6 +57,16 @@ def unfold(blocks: DataFrame, width: int) -> DataFrame:
     return blocks.select("b", F.explode("items").alias("x")).select((F.col("b").cast("bigint") * width + F.col("x.i")).alias("node"), F.col("x.v").alias("v"))
 
 
+def mod_vector_blocks(vec: DataFrame, blocks: int) -> DataFrame:
+    """(node, v) -> (b, items) in the modulo layout."""
+    return vec.groupBy(mod_block(F.col("node"), blocks).alias("b")).agg(F.array_sort(F.collect_list(F.struct(mod_index(F.col("node"), blocks).alias("i"), F.col("v")))).alias("items"))
+
+
+def unfold_mod(vec: DataFrame, blocks: int) -> DataFrame:
+    """(b, items) -> (node, v): node = blocks * i + b."""
+    return vec.select("b", F.explode("items").alias("x")).select((F.col("x.i").cast("bigint") * blocks + F.col("b")).alias("node"), F.col("x.v").alias("v"))
+
+
 def sub_grid(blocks: DataFrame, rows: int, cols: int) -> DataFrame:
     """The blocks of the first rows x cols of the grid; a filter on partition columns prunes the files."""
     return blocks.filter((F.col("brow") < rows) & (F.col("bcol") < cols))

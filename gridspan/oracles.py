@@ -168,6 +168,10 @@ select row, col from c union all select r, {draw("'mr-' || r")} % 100 from range
     "dense_matrix_gen": """select 'A' as side, i // 10 as blk, i % 10 as r, 10 as cols, round((i // 10)::double, 6) as total from range(30) t(i)
 union all select 'B', i // 10, i % 10, 10, round((i // 10)::double, 6) from range(40) t(i)""",
     "initial_ranks": f"with {MAT} select node, 1.0::double / n as rank from nodes, size",
+    "initial_rank_blocks": """with p as (select p_partkey as node, p_partkey // 16 as a, p_partkey % 7 as b from part), whole as (select count(*) as n, sum(node)::bigint as ids, 1.0::double as total from p)
+select 'range' as form, n, ids, total, 0::bigint as largest from whole union all select 'mod', n, ids, total, 0 from whole
+union all select 'range blocks', count(*), sum(a)::bigint, 0, max(n) from (select a, count(*) as n from p group by a) t
+union all select 'mod blocks', count(*), sum(b)::bigint, 0, max(n) from (select b, count(*) as n from p group by b) t""",
     "random_byte_series": f"select i as pos, ({draw("'b-' || i")} % 256 - 128)::int as val from range(4096) t(i)",
     "split_generator": f"""with s as (select i, 128 - 12 + 2 * ({draw("'s-' || i")} % 12) as size from range(80) t(i)),
 o as (select i, size, coalesce(sum(size) over (order by i rows between unbounded preceding and 1 preceding), 0) as off from s)

@@ -160,6 +160,18 @@ def initial_ranks(spark, sf_dir):
     return generators.initial_ranks(nodes, nodes.count())
 
 
+@query
+def initial_rank_blocks(spark, sf_dir):
+    """First ranks as blocks of 16 neighbours, and as 7 blocks by remainder: blocks, entries and ids of each form, unfolded again."""
+    nodes = part_nodes(spark, sf_dir)
+    ranks = generators.initial_ranks(nodes, nodes.count()).withColumnRenamed("rank", "v")
+    forms = {"range": (B.vector_blocks(ranks, 16), lambda b: B.unfold(b, 16)), "mod": (B.mod_vector_blocks(ranks, 7), lambda b: B.unfold_mod(b, 7))}
+    sums = [back(b).agg(F.count(F.lit(1)).alias("n"), F.sum("node").alias("ids"), F.round(F.sum("v"), 6).alias("total")).withColumns({"form": F.lit(f), "largest": F.lit(None).cast("bigint")}) for f, (b, back) in forms.items()]
+    sizes = [b.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("ids"), F.max(F.size("items")).cast("bigint").alias("largest")).withColumns({"form": F.lit(f"{f} blocks"), "total": F.lit(0.0)}) for f, (b, _) in forms.items()]
+    every = [d.select("form", "n", "ids", "total", F.coalesce("largest", F.lit(0)).cast("bigint").alias("largest")) for d in sums + sizes]
+    return functools.reduce(DataFrame.unionByName, every)
+
+
 @query
 def random_byte_series(spark, sf_dir):
     return generators.random_bytes(spark, 4096)
