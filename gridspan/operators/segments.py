@@ -59,6 +59,19 @@ def cover_lists(targets: DataFrame, ranges: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("covered").isNotNull() & F.col("any").isNull(), F.slice("covered", 1, 0)).otherwise(F.col("covered")).alias("covered"))
 
 
+def choose_group(covered: DataFrame, capacity: int) -> DataFrame:
+    """covered (grp, id, remaining) -> (grp, how, n), the group to run next: the one with most members that are covered whole (`perfect`); if
+    none has any, the one of which most members, those that lack least first, fit half the capacity (`fit`). The least of equal
+    groups; no row if nothing fits."""
+    order = Window.partitionBy("grp").orderBy("remaining", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = covered.withColumn("used", F.sum("remaining").over(order))
+    per = rows.groupBy("grp").agg(F.sum((F.col("remaining") == 0).cast("bigint")).alias("perfect"), F.sum((F.col("used") <= capacity // 2).cast("bigint")).alias("fit"))
+    best = per.agg(*[F.min(F.struct((-F.col(how)).alias("n"), "grp")).alias(how) for how in ("perfect", "fit")])
+    how = F.when(F.col("perfect.n") < 0, "perfect").when(F.col("fit.n") < 0, "fit")
+    one = F.when(how == "perfect", F.col("perfect")).otherwise(F.col("fit"))
+    return best.select(one["grp"].alias("grp"), how.alias("how"), (-one["n"]).alias("n")).filter("how is not null")
+
+
 def lookup(segments: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (id, path, off, len) with `place`: how many segments of their path come before them by (off, len), the place that a search in
     the sorted list finds; and `found`: whether one is equal. Segments and probes are merged in order, bin by bin, and counts of the

@@ -179,6 +179,7 @@ select '/data/input0' as path, off::bigint as off, (case when i = 79 then 10240
     "indexed_text_roundtrip": indexed("chr(10)"),
     "indexed_bytes_roundtrip": indexed("''"),
     "indexed_source": indexed("chr(10)"),
+    "indexed_sink": f"select * from ({indexed("''")}) t where index in ('3', '7', '11')",
     "index_file_scan": "select 'nation' || c_nationkey as index, count(*) as n, sum(c_custkey * 10)::bigint as offs, sum(strlen(c_name))::bigint as bytes from customer group by 1",
     "file_name_index": "select 4::bigint as files, 0::bigint as offs, sum(strlen(c_name) + 1)::bigint as bytes from customer",
     "pair_plan": """with e as (select c_nationkey as k, c_nationkey::varchar as index, sum(strlen(c_name) + 1)::bigint as bytes, count(*) as n from customer group by 1, 2)
@@ -273,6 +274,11 @@ select k as task, k % 3 as worker, any_value(n) as pairs, count(distinct items.i
 from items left join hosts using (item) join (select k, count(*) as n from t group by k) c using (k) group by k""",
     "capacity_packs": f"""with {ENTRIES}, s as (select id, size, sum(size) over (order by id) - size as ahead, sum(size) over () // 4 // 2 as half from e), v as (select id, size, (ahead // half)::bigint as pack from s)
 select a.pack as pr, b.pack as pc, count(*) as n, sum(a.size + b.size)::bigint as bytes from v a join v b on a.id <= b.id group by 1, 2""",
+    "best_group": COVER + """, g as (select id % 50 as grp, id, remaining from cover),
+ug as (select 'all' as part, grp, remaining, sum(remaining) over (partition by grp order by remaining, id) as used from g union all select 'left', grp, remaining, sum(remaining) over (partition by grp order by remaining, id) from g where remaining > 0),
+n as (select part, grp, sum((remaining = 0)::int)::bigint as perfect, sum((used <= 2000)::int)::bigint as fit from ug group by part, grp),
+best as (select part, arg_min(grp, (-perfect, grp)) as p, max(perfect) as np, arg_min(grp, (-fit, grp)) as f, max(fit) as nf from n group by part)
+select case when np > 0 then p else f end as grp, case when np > 0 then 'perfect' else 'fit' end as how, case when np > 0 then np else nf end as n from best where np > 0 or nf > 0""",
     "segment_lookup": SEGS + """, q as (select id, path, off, len + id % 2 as len from s)
 select q.id, q.path, (select count(*) from s where s.path = q.path and (s.off < q.off or (s.off = q.off and s.len < q.len)))::bigint as place, exists (select 1 from s where s.path = q.path and s.off = q.off and s.len = q.len) as found from q""",
     "segment_cover_lists": COVER.replace("as off, (1 + o_orderkey * 13 % 97) * 5 as len from orders)", "as off, (1 + o_orderkey * 13 % 97) * 5 as len from orders where (o_custkey % 20) <> 3)").replace("1 + l_partkey * 17 % 97 as len from lineitem)", "1 + l_partkey * 17 % 97 as len from lineitem where l_partkey % 20 <> 4 and (l_partkey % 20 <> 3 or (l_orderkey * 104729 + l_linenumber * 1299709 + l_suppkey * 31) % 1000000 < 500000))")

@@ -223,6 +223,16 @@ def indexed_source(spark, sf_dir):
     return _read_back(spark.read.format("indexed").load(path).withColumnRenamed("value", "data"))
 
 
+@query
+def indexed_sink(spark, sf_dir):
+    """Names written through the data source, and read again through it with a filter on the index."""
+    spark.dataSource.register(manifest.IndexedSource)
+    path = new_path(spark, "sink")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("index"), F.col("c_name").cast("binary").alias("value"))
+    c.write.format("indexed").mode("append").save(path)
+    return _read_back(spark.read.format("indexed").load(path).filter("index in ('3', '7', '11')").withColumnRenamed("value", "data"))
+
+
 @query
 def index_file_scan(spark, sf_dir):
     """Binary index files, an entry for each nation with a byte range for each of its customers, scanned as a manifest. The files are made of
@@ -680,6 +690,13 @@ def segment_order(spark, sf_dir):
     return order_segments(spark, sf_dir).select("id", "path", F.row_number().over(w).cast("bigint").alias("place"))
 
 
+@query
+def best_group(spark, sf_dir):
+    """The group of targets to run next: by whole covers, and, where those are left out, by what fits half a cache of 4,000 bytes."""
+    covered = segments.cover(_targets(spark, sf_dir), _ranges(spark, sf_dir)).withColumn("grp", F.col("id") % 50)
+    return segments.choose_group(covered, 4000).unionByName(segments.choose_group(covered.filter("remaining > 0"), 4000))
+
+
 @query
 def segment_lookup(spark, sf_dir):
     """Where each order's shifted segment would stand in its path's sorted list, and whether it is in it."""

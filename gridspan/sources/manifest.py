@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -12,7 +14,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
 from ..operators.pairjoin import pair_join
 
@@ -186,7 +188,9 @@ def scan_index_files(files: DataFrame, suffix: str) -> DataFrame:
 
 
 class IndexedSource(DataSource):
-    """spark.read.format("indexed").load(folder): (index, off, value) of files written by write_indexed."""
+    """spark.read.format("indexed").load(folder): (index, off, value) of files written by write_indexed or by
+    df.write.format("indexed").mode("append").save(folder), where df has columns index and value. With the option
+    filters=true, which needs spark.sql.python.filterPushdown.enabled, equality on the index spares the reading of other records."""
 
     @classmethod
     def name(cls) -> str:
@@ -196,12 +200,19 @@ class IndexedSource(DataSource):
         return "index string, off bigint, value binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _IndexedReader(self.options["path"])
+        kind = _FilteredReader if self.options.get("filters", "false").lower() == "true" else _IndexedReader
+        return kind(self.options["path"])
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("indexed files are appended")
+        return _IndexedWriter(self.options["path"])
 
 
 class _IndexedReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
+        self.wanted: set[str] | None = None
 
     def partitions(self) -> list[InputPartition]:
         fs, inner = pafs.FileSystem.from_uri(self.path)
@@ -212,9 +223,65 @@ class _IndexedReader(DataSourceReader):
         import pyarrow.parquet as pq
 
         fs, _ = pafs.FileSystem.from_uri(self.path)
-        rows = pq.read_table(partition.value, filesystem=fs).to_pylist()
+        rows = [r for r in pq.read_table(partition.value, filesystem=fs).to_pylist() if self.wanted is None or r["index"] in self.wanted]
         for path in sorted({r["path"] for r in rows}):
             with fs.open_input_file(pafs.FileSystem.from_uri(path)[1]) as f:
                 for r in rows:
                     if r["path"] == path:
                         yield r["index"], r["off"], f.read_at(r["len"], r["off"])
+
+
+class _FilteredReader(_IndexedReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and f.attribute == ("index",):
+                self.wanted = values if self.wanted is None else self.wanted & values
+            else:
+                yield f
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str
+
+
+class _IndexedWriter(DataSourceWriter):
+    """A task writes a data file and its part of the manifest under a name of its own; the commit moves the manifests of the tasks that count
+    into place, so what other attempts have written is never read."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator) -> _Written:
+        import pyarrow.parquet as pq
+
+        fs, inner = pafs.FileSystem.from_uri(self.path)
+        fs.create_dir(f"{inner}/_manifest", recursive=True)
+        name = f"part-{uuid.uuid4().hex}"
+        kind = pa.schema([("index", pa.string()), ("path", pa.string()), ("off", pa.int64()), ("len", pa.int64())])
+        entries, at = [], 0
+        with fs.open_output_stream(f"{inner}/{name}") as out, fs.open_output_stream(f"{inner}/_manifest/{name}.tmp") as sink, pq.ParquetWriter(sink, kind) as listed:
+            for row in iterator:
+                data = bytes(row["value"] or b"")
+                out.write(data)
+                entries.append({"index": row["index"], "path": f"{self.path}/{name}", "off": at, "len": len(data)})
+                at += len(data)
+                if len(entries) >= 65536:
+                    listed.write_table(pa.Table.from_pylist(entries, kind))
+                    entries.clear()
+            listed.write_table(pa.Table.from_pylist(entries, kind))
+        return _Written(name)
+
+    def commit(self, messages) -> None:
+        fs, inner = pafs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m is not None:
+                fs.move(f"{inner}/_manifest/{m.name}.tmp", f"{inner}/_manifest/{m.name}.parquet")
+
+    def abort(self, messages) -> None:
+        fs, inner = pafs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m is not None:
+                fs.delete_file(f"{inner}/{m.name}")
+                fs.delete_file(f"{inner}/_manifest/{m.name}.tmp")

@@ -139,6 +139,31 @@ def test_indexed_files_with_a_codec(spark, tmp_path):
         manifest.write_indexed(rows, "k", "v", f"file://{tmp_path}/no", codec="no")
 
 
+def test_indexed_source_writes_and_takes_filters(spark, tmp_path):
+    spark.dataSource.register(manifest.IndexedSource)
+    path = f"file://{tmp_path}/sink"
+    rows = spark.createDataFrame([(k, f"{k}{i}".encode()) for i in range(50) for k in ("a", "b", None)], "index string, value binary")
+    for _ in range(2):
+        rows.repartition(3).write.format("indexed").mode("append").save(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = spark.read.format("indexed").option("filters", "true").load(path)
+        assert read.count() == spark.read.format("indexed").load(path).count() == 300 and read.filter("index is null").count() == 100
+        got = read.filter("index = 'b'").collect()
+        assert sorted(bytes(r["value"]) for r in got) == sorted([f"b{i}".encode() for i in range(50)] * 2)
+        assert read.filter("index in ('a', 'c') and off >= 0").count() == 100
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_group_choice(spark):
+    kind = "grp long, id long, remaining long"
+    rows = [(1, 1, 0), (1, 2, 0), (2, 3, 0), (3, 4, 4), (3, 5, 5), (3, 6, 90), (4, 7, 3), (4, 8, 4), (4, 9, 2)]
+    assert [tuple(r) for r in segments.choose_group(spark.createDataFrame(rows, kind), 20).collect()] == [(1, "perfect", 2)]
+    assert [tuple(r) for r in segments.choose_group(spark.createDataFrame([r for r in rows if r[2]], kind), 20).collect()] == [(4, "fit", 3)]
+    assert segments.choose_group(spark.createDataFrame([(1, 1, 50)], kind), 20).collect() == []
+
+
 def test_pair_counts(spark):
     v = spark.range(9)
     assert pairjoin.pair_join(v, mode="half").count() == 45
