@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from ..operators.keys import join_on, running_start
 from ..session import new_path, shared_dir, table, written
 
 __all__ = ["Remembered", "bounded_batches", "byte_size", "join_on", "new_path", "running_start", "shared_dir", "table", "written"]
@@ -62,25 +62,3 @@ class Remembered(dict):
             self.room -= cost
             self[piece] = known
         return known
-
-
-def join_on(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """left joined with right (one row a key) on `key`, where a key of left may be hot.
-
-    A second, derived key keeps Spark from reusing the partitioning of an aggregate below the join,
-    so both inputs are plain exchanges and adaptive execution can split a hot partition."""
-    salt = F.xxhash64(F.col(key))
-    return left.withColumn("_kh", salt).join(right.withColumn("_kh", salt), [key, "_kh"], how).drop("_kh")
-
-
-def running_start(counts: DataFrame, key: str, n: str, start: str, fan: int = 4096) -> DataFrame:
-    """counts (key, n) with `start`, the sum of n over all smaller keys. Two levels: no window holds more than
-    max(fan, groups of fan keys) rows, whatever the number of keys."""
-    part = F.floor(F.col(key) / F.lit(fan))
-    low = counts.withColumn("_g", part)
-    high = low.groupBy("_g").agg(F.sum(n).alias("_n"))
-    w = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    high = high.select("_g", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long").alias("_base"))
-    w = Window.partitionBy("_g").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    low = low.withColumn(start, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
-    return low.join(high, "_g").withColumn(start, F.col(start) + F.col("_base")).drop("_g", "_base")
