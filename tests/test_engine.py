@@ -369,20 +369,17 @@ def test_window_counts_over_a_stream(spark, tmp_path):
     assert sorted((r["start"].minute, r["event_type"], r["n"]) for r in spark.table("gridspan_windows").collect()) == [(0, "a", 2), (0, "b", 1), (5, "a", 1)]
 
 
-def test_shared_folder_and_its_removal(spark, tmp_path):
+def test_shared_folder_and_its_removal(spark, tmp_path, monkeypatch):
     from gridspan import session
 
     df = session.written(spark.range(5), "five")
-    assert df.count() == 5 and session.run_dir(spark).startswith(session.shared_dir(spark))
-    named = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/other")
-    try:
-        path = session.new_path(spark, "x")
-        spark.range(3).write.parquet(path)
-        session.clean(spark)
-        assert not (tmp_path / "other" / "gridspan" / spark.sparkContext.applicationId).exists()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", named)
+    assert df.count() == 5 and session.run_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}/other")
+    spark.range(3).write.parquet(session.new_path(spark, "x"))
+    folder = tmp_path / "other" / "gridspan"
+    assert len(list(folder.iterdir())) == 1
+    session.clean(spark)
+    assert not list(folder.iterdir())
 
 
 @pytest.mark.parametrize(("strategy", "moved"), [("naive", 2), ("secondary_sort", 2), ("range_block", 2), ("mod_block", 2), ("rect_block", 2)])
