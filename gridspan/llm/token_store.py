@@ -19,6 +19,7 @@ import re
 import struct
 import uuid
 import zlib
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,8 +38,12 @@ TAIL = struct.Struct("<QQ8s")
 FILE_BYTES = 128 << 20
 
 
-#: Composed letters of ASCII, Latin-1 and Latin Extended-A whose lower case is one letter.
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+#: Composed letters of ASCII, Latin-1 and Latin Extended-A whose lower case is one letter, and their lower case.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: Those letters and visible ASCII: text that normalization only lower-cases, and whose classes are the same in every Unicode version.
+_PLAIN = re.compile(f"[!-~{_LETTERS}]+").fullmatch
+#: The model's pre-tokens of such text.
+_PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+").findall
 
 
 class WordTokenizer(Remembered):
@@ -52,28 +57,27 @@ class WordTokenizer(Remembered):
         super().__init__(keep)
         self.model = Tokenizer.from_str(model)
         self.word = self.model.model.tokenize
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.char: dict[str, str] = {}
-
-    def _spelled(self, word: str) -> str:
-        """A word of Latin letters in the byte characters that the model's merges are written in."""
-        for c in word:
-            if c not in self.char:
-                self.char[c] = self.bytes(c)[0][0]
-        return "".join([self.char[c] for c in word])
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: The character for each byte that the model's merges are written in, as far as plain text has it.
+        chars = {b: c for x in map(chr, range(0x21, 0x180)) for b, c in zip(x.encode(), spell(x)[0][0], strict=True)}
+        self.chars = "".join(chars.get(b, "\ufffe") for b in range(256))
 
     def find(self, piece: bytes) -> bytes:
-        """A word of Latin letters is one pre-token that only needs lower-casing, so it goes straight to the library's model; a
-        full stop or comma after a plain word is a pre-token of its own; any other piece goes through the whole chain."""
+        """The pre-tokens of plain text only need lower-casing, and each goes straight to the library's model; a piece of several
+        is put together from them. Any other piece, or one that may hold a special token, goes through the whole chain."""
         if piece.isalpha():
             low = piece.lower()
             if low != piece:
                 return self[low]
             ids = [t.id for t in self.word(low.decode())]
-        elif piece[-1:] in (b".", b",") and piece[:-1].isalpha():
-            return self[piece[:-1].lower()] + self[piece[-1:]]
-        elif _LATIN(text := piece.decode("utf-8", "replace")):
-            ids = [t.id for t in self.word(self._spelled(text.lower()))]
+        elif _PLAIN(text := piece.decode("utf-8", "replace")) and b"<|" not in piece:
+            found = _PRE_TOKENS(text.lower())
+            if len(found) > 1:
+                return b"".join([self[x.encode()] for x in found])
+            low = found[0].encode()
+            if low != piece:
+                return self[low]
+            ids = [t.id for t in self.word(charmap_decode(low, "strict", self.chars)[0])]
         else:
             ids = self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return struct.pack(f"<{len(ids)}I", *ids)
