@@ -467,3 +467,22 @@ def test_converged_radii_go_beyond_five_hops(spark, sf_dir):
 
     last = queries.QUERIES["status_counts_converged"](spark, sf_dir.replace("sf0.001", "sf0.01")).orderBy("hop").collect()[-1]
     assert last["changed"] == 0 and last["hop"] > queries.HOPS
+
+
+def test_products_copy_no_row_for_each_pair_of_blocks(spark):
+    rows = 40
+    a = spark.range(rows).select(F.col("id").alias("i"), F.col("id").alias("r"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vec"))
+    b = a.select(F.col("i").alias("j"), F.col("r").alias("c"), "vec")
+    got = dense.matmul(a, b, digits=6)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "CoGroup" not in plan
+    assert {(x["i"], x["j"], x["r"], x["c"]): x["v"] for x in got.collect()} == {(i, j, i, j): i * j + 1.0 for i in range(rows) for j in range(rows)}
+
+
+def test_products_are_rounded_as_sql_rounds():
+    import duckdb
+    import numpy as np
+
+    v = np.array([0.5, -0.5, 2.5e-6, -2.5e-6, 0.49999999999999994e-6, 1e300, -1e-9, 0.1234565, 3.0000005])
+    want = [duckdb.execute("select round(?::double, 6)", [float(x)]).fetchone()[0] for x in v]
+    assert dense._rounded(v, 6).tolist() == want
