@@ -479,6 +479,18 @@ def test_products_copy_no_row_for_each_pair_of_blocks(spark):
     assert {(x["i"], x["j"], x["r"], x["c"]): x["v"] for x in got.collect()} == {(i, j, i, j): i * j + 1.0 for i in range(rows) for j in range(rows)}
 
 
+@pytest.mark.parametrize("strategy", ["pair", "broadcast"])
+def test_products_of_uneven_blocks_and_nulls(spark, strategy, monkeypatch):
+    schema = "i int, r long, vec array<double>"
+    a = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, None), (None, 2, [3.0, 0.5])], schema)
+    b = spark.createDataFrame([(5, 7, [0.25, -2.0000005])], schema).toDF("j", "c", "vec")
+    got = {(x["i"], x["r"]): x["v"] for x in dense.matmul(a, b, strategy, digits=6).collect()}
+    assert got == {(0, 0): -3.750001, (0, 1): None, (None, 2): -0.25}
+    assert dense.matmul(a.limit(0), b, strategy).count() == 0 == dense.matmul(a, b.limit(0), strategy).count()
+    if strategy == "broadcast":
+        assert "cross" not in dense.matmul(a, b, strategy)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_products_are_rounded_as_sql_rounds():
     import duckdb
     import numpy as np
