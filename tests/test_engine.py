@@ -498,3 +498,13 @@ def test_products_are_rounded_as_sql_rounds():
     v = np.array([0.5, -0.5, 2.5e-6, -2.5e-6, 0.49999999999999994e-6, 1e300, -1e-9, 0.1234565, 3.0000005])
     want = [duckdb.execute("select round(?::double, 6)", [float(x)]).fetchone()[0] for x in v]
     assert dense._rounded(v, 6).tolist() == want
+
+
+def test_product_folders_are_written_unsorted(spark, tmp_path):
+    a = generators.dense_blocks(spark, "A", 3, 4, 5).select(F.col("blk").alias("i"), "r", "vec")
+    b = generators.dense_blocks(spark, "B", 2, 4, 5).select(F.col("blk").alias("j"), F.col("r").alias("c"), "vec")
+    path = f"file://{tmp_path}/products"
+    dense.write_products(a, b, path)
+    assert {p.parent.parent.name + "/" + p.parent.name for p in (tmp_path / "products").rglob("*.parquet")} == {f"i={i}/j={j}" for i in range(3) for j in range(2)}
+    back = spark.read.parquet(path).select("i", "j", "r", "c", "v").collect()
+    assert sorted(map(tuple, back)) == sorted(map(tuple, dense.matmul(a, b).collect()))
