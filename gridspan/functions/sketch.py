@@ -13,13 +13,14 @@ PHI = 0.77351
 
 def fm_mask(node: Column, k: int) -> Column:
     """A mask with one bit: position j with probability 2^-(j+1), from the leading zeros of a 32-bit draw; at most 30."""
-    zeros = 32 - F.length(F.regexp_replace(F.lpad(F.bin(draw(node, F.lit(k))), 32, "0"), "^0+", ""))
+    zeros = 32 - F.length(F.bin(draw(node, F.lit(k))))
     return F.expr("1L") * F.pow(F.lit(2.0), (31 - F.least(F.lit(30), zeros)).cast("double")).cast("bigint")
 
 
 def least_zero_pos(mask: Column) -> Column:
     """The position of the first zero bit from the top; 32 if all are ones."""
-    return 32 - F.length(F.regexp_replace(F.lpad(F.bin(mask), 32, "0"), "^1+", ""))
+    free = F.lit((1 << 32) - 1) - mask
+    return 32 - F.when(free == 0, 0).otherwise(F.length(F.bin(free)))
 
 
 def fm_estimate(masks: list[Column]) -> Column:

@@ -68,9 +68,11 @@ def _blocked(mat: DataFrame, nodes: DataFrame, n: int, alpha: float, layout: str
     return blocks, step
 
 
-def in_place(mat: DataFrame, keys: list[str]) -> DataFrame:
-    """mat kept by the executors, partitioned by the keys it will be joined on. A lost part is made again from its lineage."""
-    return mat.repartition(int(mat.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).persist()
+def in_place(mat: DataFrame, keys: list[str], sort: bool = False) -> DataFrame:
+    """mat kept by the executors, partitioned by the keys it will be joined on, and sorted by them if asked. A lost part is made again
+    from its lineage."""
+    dealt = mat.repartition(int(mat.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return (dealt.sortWithinPartitions(*keys) if sort else dealt).persist()
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.15, tol: float = 1e-6, max_iterations: int = 100, strategy: str = "naive", fixed_iterations: int | None = None, row_blocks: int = 4, col_blocks: int = 4, width: int = 16, grid: tuple[int, int] | None = None, cut_every: int = 10, resume: DataFrame | None = None, report: dict | None = None) -> DataFrame:

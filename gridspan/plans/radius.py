@@ -16,7 +16,6 @@ from ..operators.blocks import range_block, range_index, range_matrix
 from ..operators.graph import symmetric
 from ..session import written
 from .pagerank import in_place
-from .semiring import gimv_or
 
 
 def names(k: int) -> list[str]:
@@ -27,36 +26,46 @@ def init_state(nodes: DataFrame, k: int) -> DataFrame:
     return nodes.select("node", F.lit("i").alias("status"), *[fm_mask(F.col("node"), i).alias(f"b{i}") for i in range(k)])
 
 
-def hop(edges: DataFrame, state: DataFrame, k: int) -> DataFrame:
-    """State after one more hop over edges (src, dst), distinct."""
+def hop(edges: DataFrame, state: DataFrame, k: int, moving: DataFrame | None = None) -> DataFrame:
+    """State after one more hop over edges (src, dst), distinct. moving: the nodes whose masks travel, all by default; those that
+    changed in the last hop are enough, as the masks of the others have arrived."""
     masks = names(k)
-    mat = edges.select(F.col("src").alias("row"), F.col("dst").alias("col"))
-    return _settled(gimv_or(mat, state.select("node", *masks), masks), state, masks)
+    vec = (state if moving is None else moving).select(F.col("node").alias("dst"), *masks)
+    moved = edges.join(vec.hint("merge"), "dst").select(F.col("src").alias("node"), *masks)
+    return _settled(moved.groupBy("node").agg(*[F.bit_or(m).alias(m) for m in masks]), state, masks)
 
 
-def hop_blocks(blocks: DataFrame, state: DataFrame, k: int, width: int) -> DataFrame:
+def hop_blocks(blocks: DataFrame, state: DataFrame, k: int, width: int, moving: DataFrame | None = None) -> DataFrame:
     """State after one more hop over matrix blocks (brow, bcol, r, c) of `width` nodes a side: a vector block meets the matrix blocks of
-    its column, an in-block index its entries; blocks without a vector block take no part. Masks are ORed by block row and index."""
+    its column, an in-block index its entries; blocks without a vector block take no part. Masks are ORed by block row and index.
+    moving as in hop."""
     masks = names(k)
-    vec = state.select(range_block(F.col("node"), width).alias("bcol"), range_index(F.col("node"), width).alias("c"), *masks)
-    moved = blocks.join(vec, ["bcol", "c"]).select("brow", "r", *masks)
-    own = vec.select(F.col("bcol").alias("brow"), F.col("c").alias("r"), *masks)
-    grown = moved.unionByName(own).groupBy("brow", "r").agg(*[F.bit_or(m).alias(m) for m in masks])
+    vec = (state if moving is None else moving).select(range_block(F.col("node"), width).alias("bcol"), range_index(F.col("node"), width).alias("c"), *masks)
+    moved = blocks.join(vec.hint("merge"), ["bcol", "c"]).select("brow", "r", *masks)
+    grown = moved.groupBy("brow", "r").agg(*[F.bit_or(m).alias(m) for m in masks])
     return _settled(grown.select((F.col("brow").cast("bigint") * width + F.col("r")).alias("node"), *masks), state, masks)
 
 
-def _settled(grown: DataFrame, state: DataFrame, masks: list[str]) -> DataFrame:
-    old = state.select("node", F.col("status").alias("was"), *[F.col(m).alias(f"o{m}") for m in masks])
+def _settled(arrived: DataFrame, state: DataFrame, masks: list[str]) -> DataFrame:
+    """The state with what has arrived (node, masks). Where the state has `nh`, the estimate of its masks, it is brought along, and `was` is
+    the one before. Merge joins: no side is sent through the driver, whatever its size."""
+    got = arrived.select("node", *[F.col(m).alias(f"a{m}") for m in masks])
+    told = [c for c in ["nh"] if c in state.columns]
+    both = state.select("node", F.col("status").alias("before"), *masks, *told).filter("node is not null").join(got.hint("merge"), "node", "left")
+    now = both.select("node", "before", *told, *[F.col(m).alias(f"o{m}") for m in masks], *[F.col(m).bitwiseOR(F.coalesce(f"a{m}", F.lit(0).cast("bigint"))).alias(m) for m in masks])
     changed = F.lit(False)
     for m in masks:
         changed = changed | (F.col(m) != F.col(f"o{m}"))
-    status = F.when(changed, "i").when(F.col("was") == "i", "c").otherwise("f")
-    return grown.join(old, "node").select("node", status.alias("status"), *masks)
+    now = now.withColumn("status", F.when(changed, "i").when(F.col("before") == "i", "c").otherwise("f"))
+    if told:
+        now = now.withColumn("was", F.col("nh")).withColumn("nh", F.when(F.col("status") == "i", fm_estimate([F.col(m) for m in masks])).otherwise(F.col("was")))
+    return now.select("node", "status", *masks, *(["nh", "was"] if told else []))
 
 
 def neighbourhood(state: DataFrame, k: int) -> DataFrame:
     """(nh, converged, changed): sum of the estimates; nodes that just converged; nodes that changed."""
-    return state.agg(F.sum(fm_estimate([F.col(m) for m in names(k)])).alias("nh"), F.sum((F.col("status") == "c").cast("bigint")).alias("converged"), F.sum((F.col("status") == "i").cast("bigint")).alias("changed"))
+    nh = F.col("nh") if "nh" in state.columns else fm_estimate([F.col(m) for m in names(k)])
+    return state.agg(F.sum(nh).alias("nh"), F.sum((F.col("status") == "c").cast("bigint")).alias("converged"), F.sum((F.col("status") == "i").cast("bigint")).alias("changed"))
 
 
 @dataclass
@@ -69,23 +78,27 @@ class Radii:
 
 def radii(edges: DataFrame, nodes: DataFrame, k: int = 32, max_hops: int | None = None, make_symmetric: bool = False, resume: tuple[DataFrame, int] | None = None, width: int | None = None) -> Radii:
     """Hops until nothing changes, or max_hops if given; with width, over blocks of so many nodes a side. Each hop's state is a written
-    table, which also is where a later run can resume (state, hop). The edges stay in place, partitioned as the hop joins them."""
+    table, which also is where a later run can resume (state, hop). The edges stay in place, partitioned and sorted as the hop joins them.
+
+    Only masks that changed in the last hop travel in the next, and a hop's table has the estimates that the history needs, so each is
+    computed once and the history is read without a join."""
     masks = names(k)
     edges = written((symmetric(edges) if make_symmetric else edges.select("src", "dst")).distinct(), "edges")
     if width is None:
-        kept = in_place(edges, ["dst"])
+        kept = in_place(edges, ["dst"], sort=True)
     else:
-        kept = in_place(range_matrix(edges.select(F.col("src").alias("row"), F.col("dst").alias("col")), width).select("brow", "bcol", "r", "c"), ["bcol", "c"])
-    state, first = resume if resume else (written(init_state(nodes, k), "state0"), 0)
+        kept = in_place(range_matrix(edges.select(F.col("src").alias("row"), F.col("dst").alias("col")), width).select("brow", "bcol", "r", "c"), ["bcol", "c"], sort=True)
+    state, first = resume if resume else (init_state(nodes, k), 0)
+    state = written(state.select("node", "status", *masks, fm_estimate([F.col(m) for m in masks]).alias("nh")), f"state{first}")
     spark = nodes.sparkSession
     history = nodes.select("node", F.lit(0).alias("hop"), F.lit(1.0).alias("nh"))
     rows = [(0, float(nodes.count()), 0, 0)]
     h = first
     while max_hops is None or h < max_hops:
         h += 1
-        after = written(hop(kept, state, k) if width is None else hop_blocks(kept, state, k, width), f"state{h}")
-        moved = after.filter("status = 'i'").select("node").join(state, "node")
-        history = history.unionByName(moved.select("node", F.lit(h).alias("hop"), fm_estimate([F.col(m) for m in masks]).alias("nh")))
+        moving = None if h == first + 1 else state.filter("status = 'i'")
+        after = written(hop(kept, state, k, moving) if width is None else hop_blocks(kept, state, k, width, moving), f"state{h}")
+        history = history.unionByName(after.filter("status = 'i'").select("node", F.lit(h).alias("hop"), F.col("was").alias("nh")))
         r = neighbourhood(after, k).first()
         rows.append((h, r["nh"], r["converged"], r["changed"]))
         state = after
@@ -93,7 +106,7 @@ def radii(edges: DataFrame, nodes: DataFrame, k: int = 32, max_hops: int | None
             break
     kept.unpersist()
     curve = spark.createDataFrame(rows, "hop int, nh double, converged bigint, changed bigint")
-    return Radii(curve, history, state, h)
+    return Radii(curve, history, state.select("node", "status", *masks), h)
 
 
 def node_radius(history: DataFrame) -> DataFrame:

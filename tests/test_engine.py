@@ -508,3 +508,18 @@ def test_product_folders_are_written_unsorted(spark, tmp_path):
     assert {p.parent.parent.name + "/" + p.parent.name for p in (tmp_path / "products").rglob("*.parquet")} == {f"i={i}/j={j}" for i in range(3) for j in range(2)}
     back = spark.read.parquet(path).select("i", "j", "r", "c", "v").collect()
     assert sorted(map(tuple, back)) == sorted(map(tuple, dense.matmul(a, b).collect()))
+
+
+def test_radii_history_is_read_without_joins(graph):
+    r = radius.radii(*graph, k=8)
+    assert "Join" not in r.history._jdf.queryExecution().optimizedPlan().toString()
+    blocks = radius.radii(*graph, k=8, width=2)
+    assert sorted(map(tuple, blocks.history.collect())) == sorted(map(tuple, r.history.collect()))
+    assert blocks.curve.collect() == r.curve.collect()
+
+
+def test_masks_that_stand_still_do_not_travel(spark, graph):
+    one = radius.hop(graph[0], radius.init_state(graph[1], 8), 8)
+    every, some = radius.hop(graph[0], one, 8), radius.hop(graph[0], one, 8, one.filter("status = 'i'"))
+    assert 0 < one.filter("status = 'i'").count() < one.count()
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect()))
