@@ -22,9 +22,9 @@ def gimv_sum(mat: DataFrame, vec: DataFrame, hint: str | None = None) -> DataFra
     return product(mat, vec, lambda m, x: m * x, F.sum, hint)
 
 
-def gimv_min(mat: DataFrame, vec: DataFrame, include_self: bool = False) -> DataFrame:
+def gimv_min(mat: DataFrame, vec: DataFrame, include_self: bool = False, hint: str | None = None) -> DataFrame:
     """The least vector value among a row's columns; include_self: and the row's own."""
-    out = product(mat, vec, lambda m, x: x, F.min)
+    out = product(mat, vec, lambda m, x: x, F.min, hint)
     if not include_self:
         return out
     return out.unionByName(vec.select("node", "v")).groupBy("node").agg(F.min("v").alias("v"))
@@ -63,18 +63,19 @@ def min_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     A round is the min product over the matrix, then two shortcuts: a label takes what its holders have found, and every node takes
     the label of its label. Labels only fall, and they travel along ever longer paths, so the rounds grow with the logarithm of
     the diameter; they end when no label has moved, however many that takes. Ends of edges that are not among the nodes count as
-    nodes, too."""
+    nodes, too. All joins are merge joins, which the driver has no part in: below Catalyst's threshold every round would send it
+    the labels, several times their size on disk."""
     mat = written(edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1).alias("val")).unionByName(edges.select(F.col("dst").alias("row"), F.col("src").alias("col"), F.lit(1).alias("val"))).distinct(), "symmetric")
     every = nodes.select("node").unionByName(mat.select(F.col("row").alias("node"))).distinct()
     vec = written(every.select("node", F.col("node").alias("v")), "labels")
     total = None
     while True:
-        found = gimv_min(mat, vec, include_self=True).withColumnRenamed("v", "m")
-        both = written(join_on(vec, found, "node"), "found")
+        found = gimv_min(mat, vec, include_self=True, hint="merge").withColumnRenamed("v", "m")
+        both = written(join_on(vec, found.hint("merge"), "node"), "found")
         hooks = both.groupBy(F.col("v").alias("node")).agg(F.min("m").alias("v"))
         now = written(both.select("node", F.col("m").alias("v")).unionByName(hooks).groupBy("node").agg(F.min("v").alias("v")), "hooked")
         labels = now.select(F.col("node").alias("v"), F.col("v").alias("up"))
-        vec = written(join_on(now, labels, "v", "left").select("node", F.coalesce("up", "v").alias("v")), "labels")
+        vec = written(join_on(now, labels.hint("merge"), "v", "left").select("node", F.coalesce("up", "v").alias("v")), "labels")
         before, total = total, vec.agg(F.sum(F.col("v").cast("decimal(38,0)"))).first()[0]
         if total == before:
             return vec

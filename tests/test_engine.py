@@ -523,3 +523,17 @@ def test_masks_that_stand_still_do_not_travel(spark, graph):
     every, some = radius.hop(graph[0], one, 8), radius.hop(graph[0], one, 8, one.filter("status = 'i'"))
     assert 0 < one.filter("status = 'i'").count() < one.count()
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_labels_do_not_pass_through_the_driver(spark, graph, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    from gridspan.session import written
+
+    monkeypatch.setattr(semiring, "written", kept)
+    assert {x["node"]: x["v"] for x in semiring.min_labels(*graph).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
