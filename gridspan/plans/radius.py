@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.sketch import fm_estimate, fm_mask
 from ..operators.blocks import range_block, range_index, range_matrix
 from ..operators.graph import symmetric
-from ..session import written
+from ..session import tasks_for, written
 from .pagerank import in_place
 
+#: Pairs that a task of nh_exact makes distinct.
+PAIRS = 1 << 20
+
 
 def names(k: int) -> list[str]:
     return [f"b{i}" for i in range(k)]
@@ -142,12 +145,18 @@ def average_diameter(curve: DataFrame) -> DataFrame:
 
 
 def nh_exact(edges: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
-    """(hop, n): exact pairs within h hops, each node counting itself. For small graphs: pairs are rows."""
+    """(hop, n): exact pairs within h hops, each node counting itself. For small graphs: pairs are rows.
+
+    A pair is kept with the hop that found it, and only the pairs that the last hop found go on. The pairs are counted before they are
+    made distinct, and the tasks of that step follow their number, so that none has many more than PAIRS."""
+    spark = nodes.sparkSession
     edges = written(edges.select(F.col("src").alias("via"), "dst").distinct(), "edges")
-    reach = written(nodes.select("node", F.col("node").alias("far")), "reach0")
-    out = reach.agg(F.lit(0).alias("hop"), F.count(F.lit(1)).alias("n"))
+    reach = written(nodes.select("node", F.col("node").alias("far"), F.lit(0).alias("hop")), "reach0")
+    rows = [(0, reach.count())]
     for h in range(1, hops + 1):
-        more = reach.join(edges, reach["far"] == edges["via"]).select("node", F.col("dst").alias("far"))
-        reach = written(reach.unionByName(more).distinct(), f"reach{h}")
-        out = out.unionByName(reach.agg(F.lit(h).alias("hop"), F.count(F.lit(1)).alias("n")))
-    return out
+        last = reach.filter(F.col("hop") == h - 1).select("node", "far")
+        more = written(last.join(edges, last["far"] == edges["via"]).select("node", F.col("dst").alias("far"), F.lit(h).alias("hop")), f"more{h}")
+        parts = tasks_for(spark, rows[-1][1] + more.count(), PAIRS)
+        reach = written(reach.unionByName(more).repartition(parts, "node", "far").groupBy("node", "far").agg(F.min("hop").alias("hop")), f"reach{h}")
+        rows.append((h, reach.count()))
+    return spark.createDataFrame(rows, "hop int, n bigint")

@@ -537,3 +537,34 @@ def test_labels_do_not_pass_through_the_driver(spark, graph, monkeypatch):
     monkeypatch.setattr(semiring, "written", kept)
     assert {x["node"]: x["v"] for x in semiring.min_labels(*graph).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_exact_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    from gridspan.session import written
+
+    files = []
+
+    def kept(df, name):
+        out = written(df, name)
+        if name.startswith("reach") and name != "reach0":
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(radius, "written", kept)
+    monkeypatch.setattr(radius, "PAIRS", 100, raising=False)
+    nodes = spark.range(100).withColumnRenamed("id", "node")
+    edges = nodes.select(F.col("node").alias("src"), F.explode(F.array(*[(F.col("node") + i) % 100 for i in range(1, 11)])).alias("dst"))
+    got = radius.nh_exact(edges, nodes, 3).orderBy("hop").collect()
+    assert [tuple(x) for x in got] == [(0, 100), (1, 1100), (2, 2100), (3, 3100)]
+    assert files[0] > 4 and files == sorted(files)
+
+
+def test_orders_are_sorted_in_tasks_by_their_number(spark, sf_dir, monkeypatch):
+    from gridspan.sources import graph as tables
+
+    few = tables.co_purchase(spark, sf_dir)
+    monkeypatch.setattr(tables, "LINES", 1000, raising=False)
+    many = tables.co_purchase(spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert f", {-(-lines // 1000)}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
