@@ -17,5 +17,6 @@ def word_count(text: DataFrame, col: str = "text") -> DataFrame:
     return words(text, col).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: For SQL: a lateral table function with the tokens of a text and their places; every single blank ends a place.
-PLACED = r"lateral (select pos, word from (select posexplode(split({0}, '[ \\t\\n\\r\\f]')) as (pos, word)) where word <> '')"
+#: For SQL: a lateral table function with the tokens of a text and their places, to be filtered by word <> ''; every single blank ends a
+#: place. A subquery with the filter in it would be planned as a join of the table with its distinct texts.
+PLACED = r"lateral posexplode(split({0}, '[ \\t\\n\\r\\f]')) as placed(pos, word)"

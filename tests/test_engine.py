@@ -568,3 +568,10 @@ def test_orders_are_sorted_in_tasks_by_their_number(spark, sf_dir, monkeypatch):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert f", {-(-lines // 1000)}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_placed_tokens_need_no_join(spark, sf_dir):
+    from gridspan import queries
+
+    plan = queries.QUERIES["udtf_tokens"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and "Join" not in plan
